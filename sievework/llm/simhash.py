@@ -124,11 +124,12 @@ def _unary(fp: np.ndarray) -> np.ndarray:
     return ((fp | y) & even) | ((fp & y & even) << one)
 
 
-def _near(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray) -> np.ndarray:
+def _near(a: np.ndarray, b, ua: np.ndarray, ub) -> np.ndarray:
     """Manhattan distance of the counts first; whole fingerprints where that bound holds."""
     ok = np.bitwise_count(ua ^ ub) <= RADIUS
     i = np.flatnonzero(ok)
-    return i[np.bitwise_count(a[i] ^ b[i]) <= RADIUS]
+    other = b if np.ndim(b) == 0 else b[i]
+    return i[np.bitwise_count(a[i] ^ other) <= RADIUS]
 
 
 def _links(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
