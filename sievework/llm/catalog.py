@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op4_bpe
+from .packing import op7_best_fit_packing
+from .sharding import op6_sharding
 from .simhash import op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_bpe": op4_bpe,
+    "op6_sharding": op6_sharding,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
