@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
+from ..session import shared_dir
+
+__all__ = ["bounded_rank", "buckets_for", "id_text", "shared_dir", "skewed_lookup", "stash"]
 
 #: Keys holding more than 1/HOT_SHARE of all rows are joined by broadcast; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = sc.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="sievework-")
-    return _OWN_DIRS[app]
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and an executor's loss costs nothing."""
     spark = df.sparkSession

@@ -88,7 +88,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for b in batches:
         texts = b.column(1).cast(pa.binary()).to_pylist()
         fps = np.array(fingerprints_of(texts), dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,6 +217,17 @@ def links(points: DataFrame, levels: int = 2, block: int = BLOCK) -> DataFrame:
     return ordered.mapInArrow(_link_batches, "a long, b long").distinct()
 
 
+def _classes(fps: DataFrame, levels: int | None) -> tuple[DataFrame, int]:
+    """(fp, n, root, component_id) for each distinct fingerprint of ``fps(doc_id, fp)``, a written table, and its rows."""
+    points = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "points")
+    total, n = points.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    # expected points in a cell of two subspaces stay under 2,000 up to 2^28 points; beyond that a third is used
+    roots = components(links(points.select("fp"), levels or (2 if n < 1 << 28 else 3))).select(F.col("node").alias("fp"), "root")
+    named = points.join(roots, "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return stash(named.join(least, "root").select("fp", "n", "root", "component_id"), "labels"), total
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
@@ -225,14 +236,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id keeps its row and counts as no id; empty and null texts have fingerprint 0 and are linked like any other.
     """
     fps = stash(fingerprint(docs, id_col, text_col), "fingerprints")
-    points = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "points")
-    total, n = points.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # expected points in a cell of two subspaces stay under 2,000 up to 2^28 points; beyond that a third is used
-    roots = components(links(points.select("fp"), levels or (2 if n < 1 << 28 else 3))).select(F.col("node").alias("fp"), "root")
-    named = points.join(roots, "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = stash(named.join(least, "root").select("fp", "n", "component_id"), "labels")
-    return skewed_lookup(fps, labels, "fp", "n", total).select("doc_id", "fp", "component_id")
+    labels, total = _classes(fps, levels)
+    return skewed_lookup(fps, labels.drop("root"), "fp", "n", total).select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int | None = None) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates: that with the least id (rows without an id last), all its columns kept.
+
+    Rows with one id and different texts are told apart by a hash of the text; of rows alike in both, one stays.
+    """
+    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), key.alias("key"))
+    fps = stash(texts.mapInArrow(_fingerprint_batches, "doc_id long, fp long, key long"), "fingerprints")
+    labels, total = _classes(fps, levels)
+    rows = fps.groupBy("doc_id", "key", "fp").agg(F.count("*").alias("copies"))
+    placed = skewed_lookup(rows, labels.drop("component_id"), "fp", "n", total)
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "copies")).alias("m"))
+    kept = stash(first.select(F.col("m.doc_id").alias("_kept_id"), F.col("m.key").alias("_kept_key"), F.col("m.copies").alias("_copies")), "kept")
+    chosen = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_key")))
+    once = chosen.where("_copies = 1")
+    repeated = chosen.where("_copies > 1").dropDuplicates(["_kept_id", "_kept_key"])
+    return once.unionByName(repeated).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
