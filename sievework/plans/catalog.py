@@ -1,10 +1,426 @@
-"""Queries by name, and the same in SQL."""
+"""Queries by name, each over its whole tables, and the same in SQL for DuckDB.
+
+The test tables hold no padded texts and no benchmark item as a whole text, so some queries pad texts or add items
+themselves; the SQL does the same.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.canonical import record_digest, text_digest
+from ..functions.shingles import permutations, shingle_array, signature, u32
+from ..functions.shingles import shingles as shingle_set
+from ..functions.text import SPACE, display, near_text
+from ..operators import gates, neardup
+from ..operators.duplicates import duplicate_counts, duplicate_groups, exact_duplicates, fingerprint
+from ..operators.extraction import field_text, first_text
+from ..operators.overlap import evidence, field_differences, match_rate, overlap_counts, overlap_rate
+from ..session import shared_dir
+from ..sources.datasets import ROW, read_dataset
+from ..streaming.incremental import windowed_counts
+
+CAP = 100
+_RECORD = ["text", "lang", "source"]
+_FIELDS = ["question", "problem", "prompt", "text"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str, padded: bool = False) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(" \t"), "text", F.lit(" \n"))).otherwise(F.col("text"))
+    return docs.withColumn("text", text) if padded else docs
+
+
+def _record_digests(docs: DataFrame, strip: bool = True) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("row"), record_digest(docs, strip, _RECORD).alias("digest"))
+
+
+def exact_duplicates_text(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return duplicate_counts(docs.select(text_digest(F.col("text"), True).alias("digest")))
+
+
+def exact_duplicates_record(spark, sf_dir):
+    return duplicate_counts(_record_digests(_documents(spark, sf_dir, True)))
+
+
+def duplicate_groups_text(spark, sf_dir):
+    docs = _documents(spark, sf_dir, True)
+    return duplicate_groups(docs.select(text_digest(F.col("text"), True).alias("digest"))).where("n > 1")
+
+
+def record_digest_exact(spark, sf_dir):
+    return _record_digests(_documents(spark, sf_dir, True), False)
+
+
+def record_digest_normalized(spark, sf_dir):
+    return _record_digests(_documents(spark, sf_dir, True), True)
+
+
+def dataset_fingerprint(spark, sf_dir):
+    docs = _documents(spark, sf_dir, True)
+    return spark.createDataFrame([(fingerprint(_record_digests(docs), ""),)], "fingerprint string")
+
+
+def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs, few = _documents(spark, sf_dir, True), F.col("source").isin("src0", "src1")
+    return docs.where(few), docs.where(~few)
+
+
+def _overlap(a: DataFrame, b: DataFrame, kind: str) -> DataFrame:
+    return overlap_counts(a, b).select(F.lit(kind).alias("kind"), "shared_records", "only_in_a", "only_in_b")
+
+
+def compare_record_overlap(spark, sf_dir):
+    a, b = _sides(spark, sf_dir)
+    return _overlap(_record_digests(a, False), _record_digests(b, False), "exact").unionAll(_overlap(_record_digests(a), _record_digests(b), "normalized"))
+
+
+def _text_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return tuple(field_text(d, "text", "doc_id") for d in _sides(spark, sf_dir))
+
+
+def _picked(d: DataFrame, kind: str, *more: str) -> DataFrame:
+    return d.select("row", F.col(kind).alias("digest"), *more)
+
+
+def compare_text_overlap(spark, sf_dir):
+    a, b = _text_sides(spark, sf_dir)
+    return _overlap(_picked(a, "exact"), _picked(b, "exact"), "exact").unionAll(_overlap(_picked(a, "normalized"), _picked(b, "normalized"), "normalized"))
+
+
+def compare_evidence_topn(spark, sf_dir):
+    a = field_text(_documents(spark, sf_dir), "text", "doc_id")
+    b = field_text(_documents(spark, sf_dir, True), "text", "doc_id")
+    return evidence(_picked(a, "exact"), _picked(b, "exact"), CAP - 1)
+
+
+def _normalized_pairs(spark, sf_dir) -> DataFrame:
+    a = field_text(_documents(spark, sf_dir), "text", "doc_id")
+    b = field_text(_documents(spark, sf_dir, True), "text", "doc_id")
+    pairs = evidence(_picked(a, "normalized", F.col("exact").alias("a_exact")), _picked(b, "normalized"), CAP - 1)
+    return F.broadcast(pairs).join(b.select(F.col("row").alias("b_row"), F.col("exact").alias("b_exact")), "b_row")
+
+
+def compare_normalized_only(spark, sf_dir):
+    return _normalized_pairs(spark, sf_dir).select("a_row", "b_row", (F.col("a_exact") == F.col("b_exact")).alias("also_exact"))
+
+
+def compare_field_diff(spark, sf_dir):
+    a, b = (_documents(spark, sf_dir, p).select("doc_id", *_RECORD) for p in (False, True))
+    pairs = _normalized_pairs(spark, sf_dir).where("a_exact <> b_exact").select("a_row", "b_row")
+    return field_differences(a, b, "doc_id", "doc_id", pairs).select("a_row", "b_row", F.explode("differing").alias("d")).select("a_row", "b_row", "d.field", "d.a", "d.b")
+
+
+def display_value(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", display(F.col("text")).alias("shown"))
+
+
+def _with_items(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row"), "text")
+    text = F.when(F.col("row") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("  "), "text", F.lit("\n")))
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("row"), F.when(F.col("doc_id") % 3 == 0, " ").alias("question"), "text")
+    return docs.unionByName(items.select((F.col("row") + 1_000_000_000).alias("row"), text.alias("question"), F.lit("other").alias("text"))), items
+
+
+def benchmark_extract(spark, sf_dir):
+    data, _ = _with_items(spark, sf_dir)
+    return first_text(data, _FIELDS, "row").select("row", "field", F.col("exact").alias("digest"))
+
+
+def _benchmark_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    data, items = _with_items(spark, sf_dir)
+    return first_text(data, _FIELDS, "row"), first_text(items, _FIELDS, "row")
+
+
+def benchmark_match(spark, sf_dir):
+    a, b = _benchmark_sides(spark, sf_dir)
+    counts = [overlap_counts(_picked(a, k), _picked(b, k)).select(F.col("shared_records").alias(f"{k}_matches")) for k in ("exact", "normalized")]
+    both = counts[0].join(F.broadcast(counts[1]))  # one row each
+    return both.withColumn("status", F.when(F.col("exact_matches") + F.col("normalized_matches") > 0, "OVERLAP_DETECTED").otherwise("NO_OVERLAP_DETECTED"))
+
+
+def benchmark_evidence(spark, sf_dir):
+    a, b = _benchmark_sides(spark, sf_dir)
+    return evidence(_picked(a, "normalized", "field"), _picked(b, "normalized"), CAP - 1).select(F.col("a_row").alias("dataset_record"), F.col("b_row").alias("reference_record"), "field")
+
+
+def near_text_digest(spark, sf_dir):
+    return _documents(spark, sf_dir, True).select("doc_id", F.sha2(near_text(F.col("text")), 256).alias("near_sha256"))
+
+
+def char_shingles_count(spark, sf_dir):
+    docs = _documents(spark, sf_dir, True).repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    return docs.select("doc_id", F.size(shingle_array(near_text(F.col("text")), 5)).cast("long").alias("n_shingles"))
+
+
+def minhash_signature(spark, sf_dir):
+    """64 permutations' least values for each document."""
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = permutations(64, 42)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for t in batch.column(1):
+                grams = shingle_set(t.as_py(), 5)
+                out.append(",".join(map(str, signature(np.fromiter((u32(g.encode()) for g in grams), dtype=np.uint32, count=len(grams)), a, b).tolist())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "signature"])
+
+    docs = _documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    return docs.select("doc_id", near_text(F.col("text")).alias("near")).mapInArrow(run, "doc_id long, signature string")
+
+
+def _near(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = _documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    rows = neardup.near_rows(docs, _RECORD, "doc_id").persist()
+    texts = neardup.distinct_texts(rows).persist()
+    return rows, texts, neardup.text_pairs(texts, neardup.NearDuplicateConfig(), False)
+
+
+def near_duplicates_lsh(spark, sf_dir):
+    """Pairs of different near texts, each text by its first row."""
+    rows, _, pairs = _near(spark, sf_dir)
+    first = rows.groupBy("t").agg(F.min("row").alias("row"))
+    both = pairs.join(first.select(F.col("t").alias("l"), F.col("row").alias("x")), "l").join(first.select(F.col("t").alias("r"), F.col("row").alias("y")), "r")
+    return both.select(F.least("x", "y").alias("left_row"), F.greatest("x", "y").alias("right_row"))
+
+
+def near_duplicate_summary(spark, sf_dir):
+    _, texts, pairs = _near(spark, sf_dir)
+    return neardup.summary(texts, pairs)
+
+
+def near_duplicate_evidence(spark, sf_dir):
+    rows, texts, pairs = _near(spark, sf_dir)
+    return neardup.evidence(rows, texts, pairs, CAP - 1).select(F.col("left").alias("left_row"), F.col("right").alias("right_row"), "field")
+
+
+def lsh_candidates(spark, sf_dir):
+    """Pairs of distinct near texts that share a band, by first row."""
+    docs = _documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    rows = neardup.near_rows(docs, _RECORD, "doc_id")
+    pairs = neardup.candidates(neardup.shingled(neardup.distinct_texts(rows), neardup.NearDuplicateConfig(), True).persist())
+    first = rows.groupBy("t").agg(F.min("row").alias("row"))
+    both = pairs.join(first.select(F.col("t").alias("l"), F.col("row").alias("x")), "l").join(first.select(F.col("t").alias("r"), F.col("row").alias("y")), "r")
+    return both.select(F.least("x", "y").alias("left_row"), F.greatest("x", "y").alias("right_row"))
+
+
+def near_duplicates_pairwise(spark, sf_dir):
+    """All pairs of benchmark items with their prompts' beginnings alike: a low threshold, since items are few and unlike."""
+    items = _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    rows = neardup.near_rows(items, ["text"], "item_id").persist()
+    pairs = neardup.text_pairs(neardup.distinct_texts(rows), neardup.NearDuplicateConfig(threshold=0.2), True)
+    return neardup.evidence(rows, neardup.distinct_texts(rows), pairs, 100_000).select(F.col("left").alias("left_row"), F.col("right").alias("right_row"))
+
+
+def _rules(spark, gate: dict) -> DataFrame:
+    return spark.createDataFrame([(r["metric"], r["passed"]) for r in gate["rules"]], "metric string, passed boolean")
+
+
+def gate_scan(spark, sf_dir):
+    rows, texts, pairs = _near(spark, sf_dir)
+    near, flagged = neardup.summary(texts, pairs).first()
+    exact = exact_duplicates(rows.select("digest"))
+    report = {"result": {"exact_duplicates": exact, "near_duplicates": {"record_rate": round(flagged / exact["total_records"], 6)}}, "configuration": {"near_duplicates": {"enabled": True}}}
+    return _rules(spark, gates.scan_gate(report, max_duplicate_rate=0.01, max_near_duplicate_rate=0.1))
+
+
+def gate_compare(spark, sf_dir):
+    counts = {r["kind"]: r for r in compare_text_overlap(spark, sf_dir).collect()}
+    rates = {f"{k}_overlap": {"rate": overlap_rate(r["shared_records"], r["only_in_a"], r["only_in_b"])} for k, r in counts.items()}
+    return _rules(spark, gates.compare_gate({"result": rates}, max_overlap_rate=0.08))
+
+
+def gate_benchmark(spark, sf_dir):
+    r, rows = benchmark_match(spark, sf_dir).first(), _with_items(spark, sf_dir)[0].count()
+    result = {f"{k}_rate": match_rate(r[f"{k}_matches"], rows) for k in ("exact", "normalized")}
+    return _rules(spark, gates.benchmark_gate({"result": result}, fail_on_overlap=False, max_overlap_rate=0.03))
+
+
+def jsonl_roundtrip(spark, sf_dir):
+    """Documents written as JSON lines and read back, with their row numbers' range checked against the count."""
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}.jsonl"
+    _documents(spark, sf_dir, True).write.json(path)
+    data = read_dataset(spark, path.removeprefix("file://"), allow_directory=True)
+    return data.frame.select(record_digest(data.frame, True, _RECORD).alias("digest"), F.col("doc_id").cast("long"))
+
+
+def parquet_row_index(spark, sf_dir):
+    data = read_dataset(spark, f"{sf_dir}/benchmark.parquet", allow_directory=True)
+    return data.frame.select(F.col(ROW).alias("row"), "item_id")
+
+
+def stream_event_counts(spark, sf_dir):
+    """Records by hour from the events as a stream, in a memory sink."""
+    schema = _table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp")).select("at", "user_id", "event_type")
+    name = f"events_{uuid.uuid4().hex}"
+    counted = windowed_counts(stream, "at", "10 minutes", "1 hour").select(F.col("window.start").alias("start"), "records")
+    query = counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "records")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        exact_duplicates_text, exact_duplicates_record, duplicate_groups_text, record_digest_exact, record_digest_normalized, dataset_fingerprint,
+        compare_record_overlap, compare_text_overlap, compare_evidence_topn, compare_normalized_only, compare_field_diff, display_value,
+        benchmark_extract, benchmark_match, benchmark_evidence, near_text_digest, char_shingles_count, minhash_signature, lsh_candidates,
+        near_duplicates_lsh, near_duplicate_summary, near_duplicate_evidence, near_duplicates_pairwise, gate_scan, gate_compare, gate_benchmark,
+        jsonl_roundtrip, parquet_row_index, stream_event_counts,
+    )
+}
+
+# --- the same in SQL ---------------------------------------------------------
+
+_PAD = "CASE WHEN doc_id % 7 = 0 THEN ' ' || chr(9) || text || ' ' || chr(10) ELSE text END"
+_STRIP = rf"regexp_replace({{0}}, '\A[{SPACE}]+|[{SPACE}]+\z', '', 'g')"
+
+
+def _strip(x: str) -> str:
+    return _STRIP.replace("{0}", x)
+
+
+def _json(x: str) -> str:
+    return f"to_json({x})::VARCHAR"
+
+
+def _text_sha(x: str) -> str:
+    return f"sha256('{{\"text\":' || {_json(x)} || '}}')"
+
+
+def _record_sha(text: str, strip: bool) -> str:
+    lang, source = (_strip(c) if strip else c for c in ("lang", "source"))
+    return f"sha256('{{\"lang\":' || {_json(lang)} || ',\"source\":' || {_json(source)} || ',\"text\":' || {_json(_strip(text) if strip else text)} || '}}')"
+
+
+def _padded() -> str:
+    return f"(SELECT doc_id, {_PAD} AS text, lang, source FROM documents)"
+
+
+def _counts(digests: str) -> str:
+    return f"SELECT count(*) AS total_records, count(DISTINCT digest) AS unique_records, count(*) - count(DISTINCT digest) AS duplicate_records FROM ({digests})"
+
+
+def _overlap_sql(digest: str, kind: str) -> str:
+    return (
+        f"SELECT '{kind}' AS kind, count(*) FILTER (a AND b) AS shared_records, count(*) FILTER (a AND NOT b) AS only_in_a, count(*) FILTER (b AND NOT a) AS only_in_b FROM "
+        f"(SELECT digest, bool_or(side) AS a, bool_or(NOT side) AS b FROM (SELECT {digest} AS digest, source IN ('src0', 'src1') AS side FROM {_padded()}) GROUP BY digest)"
+    )
+
+
+def _pairs_sql(digest_a: str, digest_b: str) -> str:
+    return (
+        f"SELECT a.doc_id AS a_row, b.doc_id AS b_row, a.text AS a_text, b.text AS b_text FROM (SELECT doc_id, text, {digest_a} AS digest FROM documents) a "
+        f"JOIN (SELECT doc_id, text, {digest_b} AS digest FROM {_padded()}) b USING (digest) ORDER BY a_row, b_row LIMIT {CAP}"
+    )
+
+
+_DATA = (
+    "(SELECT doc_id AS row, CASE WHEN doc_id % 3 = 0 THEN ' ' END AS question, text FROM documents UNION ALL "
+    "SELECT item_id + 1000000000, CASE WHEN item_id % 2 = 0 THEN text ELSE '  ' || text || chr(10) END, 'other' FROM benchmark)"
+)
+_EXTRACTED = f"(SELECT row, CASE WHEN coalesce({_strip('question')}, '') <> '' THEN 'question' ELSE 'text' END AS field, CASE WHEN coalesce({_strip('question')}, '') <> '' THEN question ELSE text END AS picked FROM {_DATA})"
+_MATCH = (
+    f"SELECT count(DISTINCT d.picked) FILTER (d.picked = b.text) AS exact_matches, count(DISTINCT {_strip('d.picked')}) AS normalized_matches "
+    f"FROM {_EXTRACTED} d JOIN benchmark b ON {_strip('d.picked')} = {_strip('b.text')}"
+)
+
+
+def _near_sql(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[{SPACE}]+', ' ', 'g'))"
+
+
+def _shingles_sql(table: str, key: str, text: str = "text") -> str:
+    """(key, s): the distinct shingles of each row."""
+    near = f"SELECT {key}, {_near_sql(text)} AS near FROM {table}"
+    return f"SELECT DISTINCT {key}, CASE WHEN length(near) < 5 THEN near ELSE substring(near, i::INT, 5) END AS s FROM (SELECT {key}, near, unnest(generate_series(1, greatest(length(near) - 4, 1))) AS i FROM ({near}) WHERE near <> '')"
+
+
+def _jaccard_sql(table: str, key: str, threshold: float, first: bool) -> str:
+    """Pairs of rows at the threshold; with ``first``, only the first row of each near text takes part."""
+    rows = f"(SELECT min({key}) AS {key}, any_value(text) AS text FROM {table} GROUP BY {_near_sql('text')})" if first else table
+    return (
+        f"WITH s AS ({_shingles_sql(rows, key)}), n AS (SELECT {key}, count(*) AS n FROM s GROUP BY {key}), "
+        f"c AS (SELECT a.{key} AS l, b.{key} AS r, count(*) AS both FROM s a JOIN s b ON a.s = b.s AND a.{key} < b.{key} GROUP BY ALL) "
+        f"SELECT l AS left_row, r AS right_row FROM c JOIN n x ON x.{key} = l JOIN n y ON y.{key} = r WHERE both::DOUBLE / (x.n + y.n - both) >= {threshold}"
+    )
+
+
+def _all_near_pairs() -> str:
+    """Pairs of rows, records that are equal left out."""
+    return (
+        f"SELECT p.left_row, p.right_row FROM ({_jaccard_sql('documents', 'doc_id', 0.85, False)}) p JOIN documents a ON a.doc_id = p.left_row JOIN documents b ON b.doc_id = p.right_row "
+        f"WHERE ({_strip('a.text')}, a.lang, a.source) <> ({_strip('b.text')}, b.lang, b.source)"
+    )
+
+
+def _signature_sql() -> str:
+    a, b = permutations(64, 42)
+    least = " || ',' || ".join(f"min(({x}::UBIGINT * h + {y}::UBIGINT) % 4294967296)::VARCHAR" for x, y in zip(a.tolist(), b.tolist()))
+    return f"SELECT doc_id, {least} AS signature FROM (SELECT doc_id, ('0x' || substring(sha256(s), 1, 8))::UBIGINT::HUGEINT AS h FROM ({_shingles_sql('documents', 'doc_id')})) GROUP BY doc_id"
+
+
+def _candidates_sql() -> str:
+    rows = f"(SELECT min(doc_id) AS doc_id, any_value(text) AS text FROM documents GROUP BY {_near_sql('text')})"
+    signatures = _signature_sql().replace(_shingles_sql("documents", "doc_id"), _shingles_sql(rows, "doc_id"))
+    return (
+        f"WITH g AS (SELECT doc_id, string_split(signature, ',') AS v FROM ({signatures})), b AS (SELECT doc_id, k, v[4*k+1:4*k+4] AS band FROM g, generate_series(0, 15) t(k)) "
+        "SELECT DISTINCT x.doc_id AS left_row, y.doc_id AS right_row FROM b x JOIN b y ON x.k = y.k AND x.band = y.band AND x.doc_id < y.doc_id"
+    )
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "exact_duplicates_text": _counts(f"SELECT {_text_sha(_strip('text'))} AS digest FROM documents"),
+    "exact_duplicates_record": _counts(f"SELECT {_record_sha('text', True)} AS digest FROM {_padded()}"),
+    "duplicate_groups_text": f"SELECT {_text_sha(_strip('text'))} AS digest, count(*) AS n FROM {_padded()} GROUP BY 1 HAVING count(*) > 1",
+    "record_digest_exact": f"SELECT doc_id AS row, {_record_sha('text', False)} AS digest FROM {_padded()}",
+    "record_digest_normalized": f"SELECT doc_id AS row, {_record_sha('text', True)} AS digest FROM {_padded()}",
+    "dataset_fingerprint": f"SELECT substring(sha256(string_agg(digest || chr(10), '' ORDER BY digest)), 1, 16) AS fingerprint FROM (SELECT {_record_sha('text', True)} AS digest FROM {_padded()})",
+    "compare_record_overlap": f"{_overlap_sql(_record_sha('text', False), 'exact')} UNION ALL {_overlap_sql(_record_sha('text', True), 'normalized')}",
+    "compare_text_overlap": f"{_overlap_sql(_text_sha('text'), 'exact')} UNION ALL {_overlap_sql(_text_sha(_strip('text')), 'normalized')}",
+    "compare_evidence_topn": f"SELECT a_row, b_row FROM ({_pairs_sql('text', 'text')})",
+    "compare_normalized_only": f"SELECT a_row, b_row, a_text = b_text AS also_exact FROM ({_pairs_sql(_strip('text'), _strip('text'))})",
+    "compare_field_diff": (
+        "WITH p AS (" + _pairs_sql(_strip("text"), _strip("text")) + f"), f AS (SELECT a_row, b_row, unnest(['lang', 'source', 'text']) AS field, unnest([a.lang, a.source, a.text]) AS a, unnest([b.lang, b.source, b.text]) AS b "
+        f"FROM p JOIN documents a ON a.doc_id = a_row JOIN {_padded()} b ON b.doc_id = b_row WHERE a_text <> b_text) "
+        "SELECT a_row, b_row, field, CASE WHEN length(a) > 120 THEN substring(a, 1, 119) || '…' ELSE a END AS a, CASE WHEN length(b) > 120 THEN substring(b, 1, 119) || '…' ELSE b END AS b FROM f WHERE a <> b"
+    ),
+    "display_value": "SELECT doc_id, CASE WHEN length(text) > 120 THEN substring(text, 1, 119) || '…' ELSE text END AS shown FROM documents",
+    "benchmark_extract": f"SELECT row, field, {_text_sha('picked')} AS digest FROM {_EXTRACTED}",
+    "benchmark_match": f"SELECT *, CASE WHEN exact_matches + normalized_matches > 0 THEN 'OVERLAP_DETECTED' ELSE 'NO_OVERLAP_DETECTED' END AS status FROM ({_MATCH})",
+    "benchmark_evidence": f"SELECT d.row AS dataset_record, b.item_id AS reference_record, d.field FROM {_EXTRACTED} d JOIN benchmark b ON {_strip('d.picked')} = {_strip('b.text')} ORDER BY 1, 2 LIMIT {CAP}",
+    "near_text_digest": f"SELECT doc_id, sha256({_near_sql('text')}) AS near_sha256 FROM {_padded()}",
+    "char_shingles_count": f"SELECT doc_id, count(*) AS n_shingles FROM ({_shingles_sql(_padded(), 'doc_id')}) GROUP BY doc_id",
+    "minhash_signature": _signature_sql(),
+    "lsh_candidates": _candidates_sql(),
+    "near_duplicates_lsh": _jaccard_sql("documents", "doc_id", 0.85, True),
+    "near_duplicate_summary": f"WITH p AS ({_all_near_pairs()}) SELECT (SELECT count(*) FROM p) AS near_pairs, (SELECT count(*) FROM (SELECT left_row FROM p UNION SELECT right_row FROM p)) AS records_flagged",
+    "near_duplicate_evidence": f"SELECT left_row, right_row, 'text' AS field FROM ({_all_near_pairs()}) ORDER BY left_row, right_row LIMIT {CAP}",
+    "near_duplicates_pairwise": (
+        f"SELECT p.left_row, p.right_row FROM ({_jaccard_sql('benchmark', 'item_id', 0.2, False)}) p JOIN benchmark a ON a.item_id = p.left_row JOIN benchmark b ON b.item_id = p.right_row WHERE {_strip('a.text')} <> {_strip('b.text')}"
+    ),
+    "gate_scan": (
+        f"WITH p AS ({_all_near_pairs()}) SELECT 'duplicate_rate' AS metric, duplicate_records / total_records <= 0.01 AS passed FROM ({_counts('SELECT ' + _record_sha('text', True) + ' AS digest FROM documents')}) "
+        "UNION ALL SELECT 'near_duplicate_rate', (SELECT count(*) FROM (SELECT left_row FROM p UNION SELECT right_row FROM p)) / (SELECT count(*) FROM documents) <= 0.1"
+    ),
+    "gate_compare": f"SELECT kind || '_overlap_rate' AS metric, shared_records / least(shared_records + only_in_a, shared_records + only_in_b) <= 0.08 AS passed FROM ({_overlap_sql(_text_sha('text'), 'exact')} UNION ALL {_overlap_sql(_text_sha(_strip('text')), 'normalized')})",
+    "gate_benchmark": (
+        f"WITH m AS ({_MATCH}), n AS (SELECT count(*) AS rows FROM {_DATA}) SELECT 'exact_match_rate' AS metric, exact_matches / rows <= 0.03 AS passed FROM m, n UNION ALL SELECT 'normalized_match_rate', normalized_matches / rows <= 0.03 FROM m, n"
+    ),
+    "jsonl_roundtrip": f"SELECT {_record_sha('text', True)} AS digest, doc_id FROM {_padded()}",
+    "parquet_row_index": "SELECT row_number() OVER () - 1 AS row, item_id FROM benchmark",
+    "stream_event_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS records FROM events GROUP BY 1",
+}
