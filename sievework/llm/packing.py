@@ -10,6 +10,7 @@ among the pieces of their length.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +23,8 @@ from .common import bounded_rank, buckets_for, id_text, stash
 
 SIZE = 1024
 END = 2
+#: Slack that a bin may keep if one or two lengths fill it so far; the best of these allowances is used.
+SLACKS = (0, 2, 5, 8, 12, 16, 24, 32, 48, 64)
 
 
 @lru_cache(maxsize=2)
@@ -107,15 +110,33 @@ def fullest(left: dict[int, int], room: int) -> dict[int, int]:
     return use
 
 
-def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(number of bins, [(length, copies in each bin), ...]), longest lengths first."""
+def _few(left: dict[int, int], room: int, slack: int) -> dict[int, int] | None:
+    """One length, or else two, that fill ``room`` but for ``slack`` at most; the longest first."""
+    lengths = sorted(left)
+    i = bisect_right(lengths, room) - 1
+    if i >= 0 and room - lengths[i] <= slack:
+        return {lengths[i]: 1}
+    if room <= slack:
+        return {}
+    for x in reversed(lengths[: i + 1]):
+        if 2 * x < room - slack:
+            return None
+        k = bisect_right(lengths, min(x, room - x)) - 1
+        if k >= 0 and lengths[k] == x and left[x] < 2:
+            k -= 1
+        if k >= 0 and room - x - lengths[k] <= slack:
+            return {x: 2} if lengths[k] == x else {x: 1, lengths[k]: 1}
+    return None
+
+
+def _patterns(histogram: dict[int, int], size: int, slack: int) -> list[tuple[int, list[tuple[int, int]]]]:
     left = {x: n for x, n in histogram.items() if n > 0}
     found = []
     while left:
         longest = max(left)
-        left[longest] -= 1
-        use = fullest({x: n for x, n in left.items() if n}, size - longest)
-        left[longest] += 1
+        rest = {x: n - (x == longest) for x, n in left.items() if n > (x == longest)}
+        use = _few(rest, size - longest, slack)
+        use = dict(fullest(rest, size - longest) if use is None else use)
         use[longest] = use.get(longest, 0) + 1
         times = min(left[x] // k for x, k in use.items())
         for x, k in use.items():
@@ -126,6 +147,23 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, lis
     return found
 
 
+def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(number of bins, [(length, copies in each bin), ...]), longest lengths first.
+
+    The search is made strict and relaxed: a bin that one or two more lengths fill up to a small slack is taken so, which
+    saves short lengths for bins that need them. Of the allowances in SLACKS the one with the fewest bins counts.
+    """
+    least = -(-sum(x * n for x, n in histogram.items()) // size)
+    best: list[tuple[int, list[tuple[int, int]]]] | None = None
+    for slack in SLACKS:
+        found = _patterns(histogram, size, slack)
+        if best is None or sum(t for t, _ in found) < sum(t for t, _ in best):
+            best = found
+        if sum(t for t, _ in best) <= least:
+            break
+    return best or []
+
+
 def pack(parts: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id", "piece", "start", "ids_crc32")) -> DataFrame:
     """Add sequence_id (from 0, gapless) and offset to ``parts``, which has a column length of 1 to ``size``.
 
@@ -155,7 +193,7 @@ def pack(parts: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id",
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"])
 
     n = sum(histogram.values())
-    ranked = bounded_rank(parts, ["length"], [F.col(c) for c in order], F.xxhash64("doc_id", "piece"), buckets_for(n), "rank").select(*parts.columns, "rank")
+    ranked = bounded_rank(parts, ["length"], [F.col(c) for c in order], F.xxhash64("doc_id", "piece"), buckets_for(n, 20_000), "rank").select(*parts.columns, "rank")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id long, offset long"
     return ranked.mapInArrow(place, kinds)
 
