@@ -10,7 +10,7 @@ import json
 import math
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,43 +35,42 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(text), F.lit('"'))
 
 
-def _python_value(value, strip: bool):
+def _python_value(value, kind: pa.DataType, strip: bool):
     """A value as the JSON encoder takes it: what it has no type for becomes its ``str``."""
-    if value is None or isinstance(value, (bool, int)):
-        return value
-    if isinstance(value, float):
+    if value is None or isinstance(value, (bool, int, float)):
         return value
     if isinstance(value, str):
         return value.strip() if strip else value
-    if isinstance(value, dict):
-        return {k: _python_value(v, strip) for k, v in value.items()}
-    if hasattr(value, "tolist") and not isinstance(value, (str, bytes)):
-        value = value.tolist()
-    if isinstance(value, (list, tuple)):
-        return [_python_value(v, strip) for v in value]
+    if pa.types.is_map(kind):
+        return {str(k): _python_value(v, kind.item_type, strip) for k, v in value}
+    if pa.types.is_struct(kind):
+        return {f.name: _python_value(value[f.name], f.type, strip) for f in kind}
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        return [_python_value(v, kind.value_type, strip) for v in value]
     return str(value)
 
 
-def _dumps(value, strip: bool) -> str:
-    return json.dumps(_python_value(value, strip), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+def _dumps(values: pa.Array, strip: bool) -> pa.Array:
+    spelled = [None if v is None else json.dumps(_python_value(v, values.type, strip), ensure_ascii=False, separators=(",", ":"), sort_keys=True) for v in values.to_pylist()]
+    return pa.array(spelled, pa.string())
 
 
-def _double_json(values: pd.Series) -> pd.Series:
+def _double_json(values: pa.Array) -> pa.Array:
     spell = {math.inf: "Infinity", -math.inf: "-Infinity"}
-    return values.map(lambda v: "NaN" if v != v else spell.get(v) or repr(float(v)))
+    return pa.array([None if v is None else "NaN" if v != v else spell.get(v) or repr(v) for v in values.to_pylist()], pa.string())
 
 
-def _exact_json(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else _dumps(v, False))
+def _exact_json(values: pa.Array) -> pa.Array:
+    return _dumps(values, False)
 
 
-def _stripped_json(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else _dumps(v, True))
+def _stripped_json(values: pa.Array) -> pa.Array:
+    return _dumps(values, True)
 
 
-def _python(f: Callable[[pd.Series], pd.Series], value: Column) -> Column:
+def _python(f: Callable[[pa.Array], pa.Array], value: Column) -> Column:
     """Vectorised, and made when it is used: a function object belongs to the context that it first ran in."""
-    return F.pandas_udf(f, T.StringType())(value)
+    return F.arrow_udf(f, T.StringType())(value)
 
 
 def _has(kind: T.DataType, kinds: tuple) -> bool:

@@ -354,8 +354,8 @@ def _jaccard_sql(table: str, key: str, threshold: float, first: bool) -> str:
     rows = f"(SELECT min({key}) AS {key}, any_value(text) AS text FROM {table} GROUP BY {_near_sql('text')})" if first else table
     return (
         f"WITH s AS ({_shingles_sql(rows, key)}), n AS (SELECT {key}, count(*) AS n FROM s GROUP BY {key}), "
-        f"c AS (SELECT a.{key} AS l, b.{key} AS r, count(*) AS both FROM s a JOIN s b ON a.s = b.s AND a.{key} < b.{key} GROUP BY ALL) "
-        f"SELECT l AS left_row, r AS right_row FROM c JOIN n x ON x.{key} = l JOIN n y ON y.{key} = r WHERE both::DOUBLE / (x.n + y.n - both) >= {threshold}"
+        f"c AS (SELECT a.{key} AS l, b.{key} AS r, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.{key} < b.{key} GROUP BY ALL) "
+        f"SELECT l AS left_row, r AS right_row FROM c JOIN n x ON x.{key} = l JOIN n y ON y.{key} = r WHERE common::DOUBLE / (x.n + y.n - common) >= {threshold}"
     )
 
 
