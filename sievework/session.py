@@ -39,6 +39,14 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def bound_batches(spark: SparkSession, limit: int = 32 << 20) -> None:
+    """Bound the bytes, not only the rows, of batches sent to Python, unless the session does so more strictly itself."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > limit:
+        spark.conf.set(name, str(limit))
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for one machine; on a cluster, use the session that the cluster gives."""
     spark = (
@@ -52,4 +60,5 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
+    bound_batches(spark)
     return spark
