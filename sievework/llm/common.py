@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import bound_batches, shared_dir
 
 __all__ = ["bounded_rank", "buckets_for", "id_text", "shared_dir", "skewed_lookup", "stash"]
 
@@ -18,6 +18,7 @@ HOT_SHARE = 512
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and an executor's loss costs nothing."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -25,6 +26,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text (null: empty), under fixed names, whatever other columns there are."""
+    bound_batches(df.sparkSession)
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 

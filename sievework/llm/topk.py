@@ -31,9 +31,10 @@ def _quantised(x: np.ndarray) -> np.ndarray:
 
 
 def _products(c: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer products, in doubles while these hold them exactly."""
+    """Exact integer products, in doubles while these hold them exactly; what a long can't hold becomes its bound."""
     if c.size and np.abs(c).max() * np.abs(q).max() * c.shape[1] >= 2.0**53:
-        return np.array([[sum(int(a) * int(b) for a, b in zip(x, y)) for y in c] for x in q], dtype=np.int64).reshape(len(q), len(c))
+        exact = ((sum(int(a) * int(b) for a, b in zip(x, y)) for y in c) for x in q)
+        return np.array([[max(-(2**63), min(2**63 - 1, v)) for v in row] for row in exact], dtype=np.int64).reshape(len(q), len(c))
     return (q @ c.T).astype(np.int64)
 
 
@@ -107,7 +108,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
 
     Vectors are turned into floor(64 x); null vectors and those with null or non-finite components take no part, and
     rows without an id are candidates but no queries. Only vectors of a query's own dimension are its candidates. A
-    repeated row is a candidate of its twin, and asks for itself. Products must fit a long. No rows give no rows.
+    repeated row is a candidate of its twin, and asks for itself. Products beyond a long count as its bound. No rows give
+    no rows.
     """
     rows = stash(packed(vectors, id_col, vec_col, _quantised), "quantised")
     dims = rows.groupBy("dim").count().collect()

@@ -61,6 +61,9 @@ def test_large_components_stay_exact(spark):
     rows = [(20, [2.0**40, 1.0]), (1, [2.0**10, 3.0]), (2, [2.0**10, 3.015625])]
     got = [(r["vec_id"], r["score"]) for r in topk.top_k(table(spark, rows)).orderBy("rank").collect()]
     assert got == [(2, 2**46 * 2**16 + 64 * 193), (1, 2**46 * 2**16 + 64 * 192)]
+    rows = [(20, [3e38, 1.0]), (1, [3e38, 3.0]), (2, [-3e38, 0.0]), (3, [0.0, 1.0])]
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(table(spark, rows)).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 4096), (2, -(2**63))]
 
 
 def test_empty(spark):
