@@ -19,6 +19,8 @@ from .text import strip as strip_text
 
 _ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")]
 _ESCAPES += [(chr(i), f"\\u{i:04x}") for i in range(32) if chr(i) not in "\n\r\t\b\f"]
+#: How a record is spelled: UTF-8 as it is, no blanks, keys in order.
+_COMPACT = {"sort_keys": True, "separators": (",", ":"), "ensure_ascii": False}
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _PYTHON = (T.FloatType, T.DoubleType, T.DecimalType, T.BinaryType)
 
@@ -37,10 +39,10 @@ def quoted(text: Column) -> Column:
 
 def _python_value(value, kind: pa.DataType, strip: bool):
     """A value as the JSON encoder takes it: what it has no type for becomes its ``str``."""
-    if value is None or isinstance(value, (bool, int, float)):
-        return value
     if isinstance(value, str):
         return value.strip() if strip else value
+    if value is None or isinstance(value, (bool, float, int)):
+        return value
     if pa.types.is_map(kind):
         return {str(k): _python_value(v, kind.item_type, strip) for k, v in value}
     if pa.types.is_struct(kind):
@@ -51,7 +53,7 @@ def _python_value(value, kind: pa.DataType, strip: bool):
 
 
 def _dumps(values: pa.Array, strip: bool) -> pa.Array:
-    spelled = [None if v is None else json.dumps(_python_value(v, values.type, strip), ensure_ascii=False, separators=(",", ":"), sort_keys=True) for v in values.to_pylist()]
+    spelled = [None if v is None else json.dumps(_python_value(v, values.type, strip), **_COMPACT) for v in values.to_pylist()]
     return pa.array(spelled, pa.string())
 
 

@@ -26,7 +26,8 @@ def jaccard_of(a: Column, b: Column) -> Column:
 
 
 def shingles(near: str, size: int) -> set[str]:
-    if size < 1:
+    """The same in Python."""
+    if size <= 0:
         raise ValueError("shingle size must be at least 1")
     if len(near) < size:
         return {near} if near else set()

@@ -12,8 +12,9 @@ from ..functions.text import strip
 
 def field_text(df: DataFrame, field: str, row: str, exact: bool = True) -> DataFrame:
     """(row, text, exact, normalized) for the rows whose ``field`` isn't null; blank texts stay."""
-    if field not in df.columns:
-        raise ValueError(f"Column '{field}' not found (available: {', '.join(c for c in df.columns if c != row)})")
+    others = [c for c in df.columns if c != row]
+    if field not in others:
+        raise ValueError(f"No column '{field}' among {', '.join(others)}")
     text = python_str(column(field), df.schema[field].dataType)
     found = df.where(column(field).isNotNull()).select(column(row).alias("row"), text.alias("text"))
     return found.select("row", "text", text_digest(F.col("text"), False).alias("exact"), text_digest(F.col("text"), True).alias("normalized"))

@@ -28,13 +28,15 @@ PAIRWISE_LIMIT = 250
 
 @dataclass(frozen=True)
 class NearDuplicateConfig:
+    """Similarity from which texts count as near-duplicates, shingle length, permutations and their seed, pairs to show."""
+
+    enabled: bool = True
     threshold: float = 0.85
+    max_evidence: int = 100
     shingle_size: int = 5
     num_perm: int = 64
-    seed: int = 42
-    enabled: bool = True
-    max_evidence: int = 100
     family: str = FAMILY
+    seed: int = 42
 
 
 def near_rows(df: DataFrame, columns: list[str], row: str) -> DataFrame:

@@ -20,9 +20,9 @@ def overlap_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     return seen.agg(n(1, 1).alias("shared_records"), n(1, 0).alias("only_in_a"), n(0, 1).alias("only_in_b"))
 
 
-def overlap_rate(shared: int, only_in_a: int, only_in_b: int) -> float:
+def overlap_rate(shared: int, only_a: int, only_b: int) -> float:
     """Shared digests over the smaller side's distinct digests."""
-    smaller = min(shared + only_in_a, shared + only_in_b)
+    smaller = shared + min(only_a, only_b)
     return shared / smaller if smaller > 0 else 0.0
 
 

@@ -22,11 +22,12 @@ from ..operators.extraction import field_text, first_text
 from ..operators.overlap import evidence, field_differences, match_rate, overlap_counts, overlap_rate
 from ..session import shared_dir
 from ..sources.datasets import ROW, read_dataset
+from ..sources.references import get_adapter
 from ..streaming.incremental import windowed_counts
 
 CAP = 100
 _RECORD = ["text", "lang", "source"]
-_FIELDS = ["question", "problem", "prompt", "text"]
+_FIELDS = get_adapter("gsm8k").candidate_fields()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -283,7 +284,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-# --- the same in SQL ---------------------------------------------------------
+# The same in SQL.
 
 _PAD = "CASE WHEN doc_id % 7 = 0 THEN ' ' || chr(9) || text || ' ' || chr(10) ELSE text END"
 _STRIP = rf"regexp_replace({{0}}, '\A[{SPACE}]+|[{SPACE}]+\z', '', 'g')"

@@ -161,7 +161,7 @@ def benchmark_check(data: Dataset, benchmark_id: str, reference: str | Path | No
     digests, ref_digests = _digests(data, True).persist(), _digests(loaded.dataset, True)
     rows = digests.count()
     report = _shell(
-        input={"dataset": _reference(data, digests, rows, prefix), "benchmark_id": adapter.id, "benchmark_name": adapter.name, "reference_source": loaded.source, "reference_path": loaded.path, "benchmark_records": loaded.dataset.count(), "benchmark_fingerprint": fingerprint(ref_digests, prefix)},
+        input={"dataset": _reference(data, digests, rows, prefix), "benchmark_id": adapter.id, "benchmark_name": adapter.name, "reference_source": loaded.source, "reference_path": loaded.path, "benchmark_records": loaded.dataset.rows(), "benchmark_fingerprint": fingerprint(ref_digests, prefix)},
         configuration={"benchmark": adapter.id, "match_exact": True, "match_normalized": True, "match_near_duplicate": False, "max_evidence_pairs": max_evidence, "row_index_base": 0, "fail_on_overlap": False},
         method={"unit": "extracted_text", "text_extraction": {"strategy": "first_non_empty", "candidate_fields": fields}, "fingerprint": FINGERPRINT, "row_index_base": 0, "exact": "text_exact_v1", "normalized": "text_normalized_v1", "near_duplicate": "disabled", "text_exact": text_spec(False), "text_normalized": text_spec(True)},
         result={

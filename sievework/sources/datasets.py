@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,8 +15,7 @@ SUFFIXES = {".jsonl": JSONL, ".json": JSONL, ".parquet": PARQUET, ".pq": PARQUET
 ROW = "__row"
 
 
-@dataclass(frozen=True)
-class Dataset:
+class Dataset(NamedTuple):
     """A loaded dataset. ``frame`` has the file's columns and ROW; ``columns`` are the file's, in the file's order."""
 
     frame: DataFrame
@@ -29,7 +28,7 @@ class Dataset:
     def records(self) -> DataFrame:
         return self.frame.select(*["`" + c.replace("`", "``") + "`" for c in self.columns])
 
-    def count(self) -> int:
+    def rows(self) -> int:
         return self.frame.count()
 
 

@@ -2,44 +2,62 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from abc import ABC, abstractmethod
 from pathlib import Path
-from typing import Protocol, runtime_checkable
+from typing import NamedTuple
 
 from pyspark.sql import SparkSession
 
 from .datasets import ROW, Dataset, read_dataset, resolve
 
+FilePath = str | Path
 
-@dataclass(frozen=True)
-class ReferenceLoad:
+
+class ReferenceLoad(NamedTuple):
     """A reference and where it comes from."""
 
     dataset: Dataset
     source: str
-    path: str
 
+    @property
+    def path(self) -> str:
+        return self.dataset.path
+
+
+class BenchmarkAdapter(ABC):
+    """A benchmark by name: which fields hold a record's text (the first non-blank one counts) and how its reference is loaded.
+
+    Anything with these names will do; ``register`` asks for no inheritance.
+    """
 
-@runtime_checkable
-class BenchmarkAdapter(Protocol):
     id: str
     name: str
-    description: str
+    description = ""
+    fields: tuple[str, ...] = ("text",)
 
-    def candidate_fields(self) -> list[str]:
-        """Fields to take a record's text from, the first non-blank one."""
+    def candidate_fields(self):
+        return list(self.fields)
 
-    def load_reference(self, spark: SparkSession, reference: str | Path | None = None) -> ReferenceLoad:
-        """The user's file, or a packaged sample."""
+    @abstractmethod
+    def load_reference(self, spark: SparkSession, reference: FilePath | None = None) -> ReferenceLoad:
+        """The user's file if there is one, else what comes with the adapter."""
 
-    def notes_for_reference(self, source: str) -> tuple[str, ...]:
+    def notes_for_reference(self, source):
         """What a report says about the reference used."""
+        return ("input.reference_source states which reference was used.",)
+
+
+def _users_file(spark: SparkSession, reference: FilePath) -> ReferenceLoad:
+    found = resolve(reference)
+    if found.is_file():
+        return ReferenceLoad(read_dataset(spark, found), "user_reference")
+    raise FileNotFoundError(f"Reference dataset not found: {found}")
 
 
-class Gsm8kAdapter:
-    id = "gsm8k"
-    name = "GSM8K"
+class Gsm8kAdapter(BenchmarkAdapter):
+    id, name = "gsm8k", "GSM8K"
     description = "Grade-school mathematics questions; a handful of made-up ones are packaged for trying things out."
+    fields = ("question", "problem", "prompt", "text")
     #: Questions in the benchmark's manner, written for this package; real audits name a reference file.
     sample = (
         ("A baker fills 6 trays with 14 rolls each and sells 59 rolls. How many rolls are left?", "6 * 14 = 84 rolls were baked. 84 - 59 = 25 are left. #### 25"),
@@ -49,58 +67,49 @@ class Gsm8kAdapter:
         ("A gardener plants 5 rows of 16 bulbs; a quarter do not sprout. How many sprout?", "5 * 16 = 80. 80 * 3 / 4 = 60. #### 60"),
     )
 
-    def candidate_fields(self) -> list[str]:
-        return ["question", "problem", "prompt", "text"]
-
-    def load_reference(self, spark: SparkSession, reference: str | Path | None = None) -> ReferenceLoad:
+    def load_reference(self, spark, reference=None):
         if reference is not None:
-            path = resolve(reference)
-            if not path.is_file():
-                raise FileNotFoundError(f"Reference dataset not found: {path}")
-            return ReferenceLoad(read_dataset(spark, path), "user_reference", str(path))
-        rows = [(q, a, i) for i, (q, a) in enumerate(self.sample)]
+            return _users_file(spark, reference)
+        rows = [(*pair, i) for i, pair in enumerate(self.sample)]
         frame = spark.createDataFrame(rows, f"question string, answer string, {ROW} long")
-        path = "packaged:gsm8k_sample"
-        return ReferenceLoad(Dataset(frame, "jsonl", path, ["question", "answer"], 0), "packaged_sample", path)
+        return ReferenceLoad(Dataset(frame, "jsonl", "packaged:gsm8k_sample", ["question", "answer"], 0), "packaged_sample")
 
-    def notes_for_reference(self, source: str) -> tuple[str, ...]:
-        used = "The reference is the user's own file." if source == "user_reference" else "The reference is a tiny packaged sample, not the benchmark itself; name a reference file for a real audit."
-        return ("input.reference_source states which reference was used.", used, "Equal texts are evidence of overlap; whether that is contamination is not decided here.")
+    def notes_for_reference(self, source):
+        which = {"user_reference": "The reference is the user's own file."}
+        used = which.get(source, "The reference is a tiny packaged sample, not the benchmark itself; name a reference file for a real audit.")
+        return (*super().notes_for_reference(source), used, "Equal texts are evidence of overlap; whether that is contamination is not decided here.")
 
 
-class TableAdapter:
+class TableAdapter(BenchmarkAdapter):
     """An adapter for any reference table: its fields and its file (or Parquet folder) are given."""
 
-    def __init__(self, id: str, fields: list[str], path: str | Path, name: str | None = None, description: str = "") -> None:
-        self.id, self.name, self.description, self._fields, self._path = id.strip().lower(), name or id, description, fields, path
-
-    def candidate_fields(self) -> list[str]:
-        return list(self._fields)
+    def __init__(self, id: str, fields: list[str], path: FilePath, name: str | None = None, description: str = "") -> None:
+        self.id, self.name, self.description, self.fields, self.table = id.strip().lower(), name or id, description, tuple(fields), path
 
-    def load_reference(self, spark: SparkSession, reference: str | Path | None = None) -> ReferenceLoad:
-        found = read_dataset(spark, reference or self._path, allow_directory=True)
-        return ReferenceLoad(found, "user_reference" if reference else "registered_table", found.path)
-
-    def notes_for_reference(self, source: str) -> tuple[str, ...]:
-        return ("input.reference_source states which reference was used.",)
+    def load_reference(self, spark, reference=None):
+        if reference is not None:
+            return _users_file(spark, reference)
+        return ReferenceLoad(read_dataset(spark, self.table, allow_directory=True), "registered_table")
 
 
-_ADAPTERS: dict[str, BenchmarkAdapter] = {Gsm8kAdapter.id: Gsm8kAdapter()}
+_BY_ID: dict[str, BenchmarkAdapter] = {}
 
 
 def register(adapter: BenchmarkAdapter) -> None:
-    _ADAPTERS[adapter.id.strip().lower()] = adapter
+    _BY_ID[adapter.id.strip().lower()] = adapter
 
 
-def list_adapters() -> list[BenchmarkAdapter]:
-    return sorted(_ADAPTERS.values(), key=lambda a: a.id)
+def get_adapter(name: str) -> BenchmarkAdapter:
+    found = _BY_ID.get(name.strip().lower())
+    if found is None:
+        known = ", ".join(sorted(_BY_ID))
+        raise ValueError(f"Unknown benchmark '{name}'. Known: {known}")
+    return found
 
 
-def get_adapter(benchmark_id: str) -> BenchmarkAdapter:
-    key = benchmark_id.strip().lower()
-    if key not in _ADAPTERS:
-        raise ValueError(f"Unknown benchmark '{benchmark_id}'. Known: {', '.join(sorted(_ADAPTERS))}")
-    return _ADAPTERS[key]
+def list_adapters() -> list[BenchmarkAdapter]:
+    return [_BY_ID[k] for k in sorted(_BY_ID)]
 
 
+register(Gsm8kAdapter())
 list_benchmarks, get_benchmark = list_adapters, get_adapter

@@ -13,7 +13,9 @@ def write_json_report(report, path: str | Path) -> Path:
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     content = report.to_dict() if hasattr(report, "to_dict") else report
-    target.write_text(json.dumps(content, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
+    with target.open("w", encoding="utf-8") as f:
+        json.dump(content, f, ensure_ascii=False, indent=2)
+        f.write("\n")
     return target.resolve()
 
 

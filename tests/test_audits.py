@@ -19,7 +19,15 @@ def jsonl(path, rows):
 
 def digest(record, strip=True):
     record = {k: v.strip() if strip and isinstance(v, str) else v for k, v in record.items()}
-    return hashlib.sha256(json.dumps(record, ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
+    return hashlib.sha256(json.dumps(record, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def near_method(report):
+    return report["method"]["near_duplicates"]
+
+
+def found(report, kind):
+    return report["result"][f"{kind}_overlap"]
 
 
 @pytest.fixture
@@ -41,7 +49,7 @@ def test_scan(spark, five):
     records = [json.loads(line) for line in five.read_text().splitlines()]
     expected = hashlib.sha256("".join(h + "\n" for h in sorted(map(digest, records))).encode()).hexdigest()[:16]
     assert r["result"]["fingerprint"] == f"sieve:{expected}"
-    assert r["input"]["columns"] == ["text", "source"] and r["method"]["near_duplicates"]["candidate_generation"] == "pairwise"
+    assert r["input"]["columns"] == ["text", "source"] and near_method(r)["candidate_generation"] == "pairwise"
     assert "gate" not in r and "sieve" in terminal.scan_text(r, "x")
 
 
@@ -55,13 +63,13 @@ def test_fingerprints_ignore_order(spark):
 
 def test_compare_records(spark, pair):
     r = reports.compare_datasets(spark, *pair)
-    assert r["result"]["exact_overlap"] == {"shared_records": 1, "only_in_a": 3, "only_in_b": 3, "rate": 0.25}
-    assert r["result"]["normalized_overlap"]["shared_records"] == 2
+    assert found(r, "exact") == {"shared_records": 1, "only_in_a": 3, "only_in_b": 3, "rate": 0.25}
+    assert found(r, "normalized")["shared_records"] == 2
     m = r["result"]["matches"]
     assert m["exact"] == [{"dataset_a_record": 0, "dataset_b_record": 0}]
     assert m["normalized"][0] == {"dataset_a_record": 0, "dataset_b_record": 0, "also_exact": True}
     assert m["normalized"][1]["differing_fields"] == [{"field": "text", "a": "  both when stripped  ", "b": "both when stripped"}]
-    assert "text_exact" not in r["method"] and r["method"]["record_exact"]["string_strip"] is False
+    assert "text_exact" not in r["method"] and not r["method"]["record_exact"]["string_strip"]
     assert "both when stripped" in terminal.compare_text(r, "x")
 
 
@@ -76,7 +84,7 @@ def test_compare_a_field(spark, pair):
 def test_compare_with_itself_is_capped(spark, tmp_path):
     p = jsonl(tmp_path / "x.jsonl", [{"text": "same", "id": i} for i in range(5)])
     r = reports.compare_datasets(spark, p, p, max_evidence=2)
-    assert r["result"]["exact_overlap"]["shared_records"] == 5 and len(r["result"]["matches"]["exact"]) == 2 and r["result"]["matches"]["exact_truncated"]
+    assert found(r, "exact")["shared_records"] == 5 and len(r["result"]["matches"]["exact"]) == 2 and r["result"]["matches"]["exact_truncated"]
     r = reports.compare_datasets(spark, p, p, max_evidence=7, text_field="text")
     pairs = [(x["dataset_a_record"], x["dataset_b_record"]) for x in r["result"]["matches"]["exact"]]
     assert pairs == [(0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (1, 0), (1, 1)] and r["result"]["matches"]["normalized_truncated"]
@@ -125,13 +133,13 @@ def test_near_duplicate_fields_and_regimes(spark, tmp_path):
     assert r["result"]["near_duplicates"]["evidence"] == [{"left": 0, "right": 1, "jaccard": 1.0, "field": "body"}]
     p = jsonl(tmp_path / "num.jsonl", [{"n": i} for i in range(300)])
     r = reports.scan_dataset(spark, p)
-    assert r["result"]["near_duplicates"]["pairs"] == 300 * 299 // 2 and r["method"]["near_duplicates"]["minhash"] == {"enabled": True, "num_perm": 64}
+    assert r["result"]["near_duplicates"]["pairs"] == 300 * 299 // 2 and near_method(r)["minhash"] == {"enabled": True, "num_perm": 64}
     r = reports.scan_dataset(spark, p, NearDuplicateConfig(enabled=False))
-    assert r["method"]["near_duplicates"]["candidate_generation"] == "disabled"
+    assert near_method(r)["candidate_generation"] == "disabled"
     empty = tmp_path / "e.parquet"
     spark.createDataFrame([], "text string").coalesce(1).toPandas().to_parquet(empty)
     r = reports.scan_dataset(spark, empty)
-    assert r["input"]["rows"] == 0 and r["method"]["near_duplicates"]["candidate_generation"] == "none"
+    assert r["input"]["rows"] == 0 and near_method(r)["candidate_generation"] == "none"
 
 
 def test_rates_and_gates():
@@ -146,14 +154,15 @@ def test_rates_and_gates():
 
 def test_command_line(spark, five, pair, tmp_path, capsys):
     out = tmp_path / "o" / "r.json"
-    assert cli.main(["scan", str(five), "-o", str(out)], spark) == 0 and json.loads(out.read_text())["input"]["rows"] == 5
-    assert cli.main(["scan", str(five), "-o", str(out), "--max-duplicate-rate", "0.1"], spark) == 2 and not json.loads(out.read_text())["gate"]["passed"]
+    into = ["-o", str(out)]
+    assert cli.main(["scan", str(five), *into], spark) == 0 and json.loads(out.read_text())["input"]["rows"] == 5
+    assert cli.main(["scan", str(five), *into, "--max-duplicate-rate", "0.1"], spark) == 2 and not json.loads(out.read_text())["gate"]["passed"]
     assert cli.main(["scan", str(tmp_path / "none.jsonl")], spark) == 1 and cli.main(["scan"], spark) == 1
-    assert cli.main(["scan", str(five), "--skip-near-duplicates", "--max-near-duplicate-rate", "0.1"], spark) == 1
-    assert cli.main(["compare", *map(str, pair), "-o", str(out), "--fail-on-overlap"], spark) == 2
+    assert cli.main(["scan", str(five), "--max-near-duplicate-rate=0.1", "--skip-near-duplicates"], spark) == 1
+    assert cli.main(["compare", *map(str, pair), *into, "--fail-on-overlap"], spark) == 2
     assert json.loads(out.read_text())["configuration"]["fail_on_overlap"] is True
-    assert cli.main(["compare", *map(str, pair), "-o", str(out), "--max-overlap-rate", "0.5"], spark) == 0
+    assert cli.main(["compare", *map(str, pair), *into, "--max-overlap-rate", "0.5"], spark) == 0
     assert cli.main(["benchmark-check", str(five), "-b", "unknown"], spark) == 1
-    assert cli.main(["benchmark-check", str(five), "-b", "gsm8k", "-o", str(out), "--fail-on-overlap"], spark) == 0
+    assert cli.main(["benchmark-check", str(five), "-b", "gsm8k", *into, "--fail-on-overlap"], spark) == 0
     assert cli.main([], spark) == 0
     capsys.readouterr()

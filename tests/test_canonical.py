@@ -23,7 +23,7 @@ def python_json(record: dict, strip_: bool) -> str:
             return [value(x) for x in v]
         return v if v is None or isinstance(v, (bool, int, float)) else str(v)
 
-    return json.dumps({k: value(v) for k, v in record.items()}, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+    return json.dumps({k: value(v) for k, v in record.items()}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
 def test_strip_knows_every_space(spark):
