@@ -23,6 +23,7 @@ from .common import bounded_rank, buckets_for, id_text, stash
 
 SIZE = 1024
 END = 2
+Place = tuple[int, int]
 #: Slack that a bin may keep if one or two lengths fill it so far; the best of these allowances is used.
 SLACKS = (0, 2, 5, 8, 12, 16, 24, 32, 48, 64)
 
@@ -53,7 +54,7 @@ def token_ids(text: str, json_path: str, ranks_path: str) -> np.ndarray:
     return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
-def cut(n: int, size: int) -> list[tuple[int, int]]:
+def cut(n: int, size: int) -> list[Place]:
     """(start, length) of the pieces of ``n`` tokens: whole, or in pieces of ``size`` of which the first may be shorter."""
     if n <= size:
         return [(0, n)]

@@ -26,6 +26,8 @@ SUPPORT = 5
 SHARE = 100_000
 ROUNDS = 3
 
+Range = tuple[int, int]
+
 _SPANS = ArrayType(StructType().add("start", LongType()).add("kind", IntegerType()).add("end", LongType()))
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -84,9 +86,9 @@ def context(text: str, start: int) -> str:
     return " ".join((["^"] * 2 + words)[-2:]).lower()
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[Range]:
     """Tokens with a digit that look like identifiers and touch no base span. Only lines that hold a digit are searched."""
-    out: list[tuple[int, int]] = []
+    out: list[Range] = []
     if not _DIGIT.search(text):
         return out
     at = 0
