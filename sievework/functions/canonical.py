@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from .text import strip as strip_text
 
-_ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")]
-_ESCAPES += [(chr(i), f"\\u{i:04x}") for i in range(32) if chr(i) not in "\n\r\t\b\f"]
+_COMMON = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
+_RARE = [("\b", "\\b"), ("\f", "\\f")] + [(chr(i), f"\\u{i:04x}") for i in range(32) if chr(i) not in "\n\r\t\b\f"]
 #: How a record is spelled: UTF-8 as it is, no blanks, keys in order.
 _COMPACT = {"sort_keys": True, "separators": (",", ":"), "ensure_ascii": False}
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -29,12 +29,17 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    for raw, spelled in pairs:
+        text = F.replace(text, F.lit(raw), F.lit(spelled))
+    return text
+
+
 def quoted(text: Column) -> Column:
-    """A JSON string. Few texts have characters to escape, so the replacements are skipped for most."""
-    escaped = text
-    for raw, spelled in _ESCAPES:
-        escaped = F.replace(escaped, F.lit(raw), F.lit(spelled))
-    return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(text), F.lit('"'))
+    """A JSON string. Control characters other than line ends and tabs are rare, so their replacements are skipped for most."""
+    common = _replaced(text, _COMMON)
+    rare = text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+    return F.concat(F.lit('"'), F.when(rare, _replaced(common, _RARE)).otherwise(common), F.lit('"'))
 
 
 def _python_value(value, kind: pa.DataType, strip: bool):

@@ -10,7 +10,9 @@ SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A[" + SPACE + r"]+|[" + SPACE + r"]+\z", "")
+    """Most texts have no white space at their ends, which two characters tell; only the others are searched."""
+    padded = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1))).rlike("[" + SPACE + "]")
+    return F.when(padded, F.regexp_replace(text, r"\A[" + SPACE + r"]+|[" + SPACE + r"]+\z", "")).otherwise(text)
 
 
 def near_text(text: Column) -> Column:

@@ -60,6 +60,10 @@ def field_differences(a: DataFrame, b: DataFrame, key_a: str, key_b: str, pairs:
     A NaN differs from every value, itself included. Fields that one side lacks are shown as ``<missing>``.
     """
     names = sorted((set(a.columns) | set(b.columns)) - {key_a, key_b})
+    few = F.broadcast(pairs.select("a_row", "b_row"))  # evidence, of a fixed number of rows
+    # only the rows that the pairs name are spelled out
+    a = a.join(few.select(F.col("a_row").alias("__wanted")).distinct(), column(key_a) == F.col("__wanted"), "left_semi")
+    b = b.join(few.select(F.col("b_row").alias("__wanted")).distinct(), column(key_b) == F.col("__wanted"), "left_semi")
     left = a.select(column(key_a).alias("a_row"), *[_shown(a, n).alias(f"a{i}") for i, n in enumerate(names) if n in a.columns], *[json_of(column(n), a.schema[n].dataType, False).alias(f"x{i}") for i, n in enumerate(names) if n in a.columns])
     right = b.select(column(key_b).alias("b_row"), *[_shown(b, n).alias(f"b{i}") for i, n in enumerate(names) if n in b.columns], *[json_of(column(n), b.schema[n].dataType, False).alias(f"y{i}") for i, n in enumerate(names) if n in b.columns])
     kind = "struct<field:string,a:string,b:string>"
@@ -72,5 +76,4 @@ def field_differences(a: DataFrame, b: DataFrame, key_a: str, key_b: str, pairs:
         else:
             found.append(F.struct(F.lit(n).alias("field"), (F.col(f"a{i}") if n in a.columns else F.lit("<missing>")).alias("a"), (F.col(f"b{i}") if n in b.columns else F.lit("<missing>")).alias("b")))
     differing = F.filter(F.array(*[f.cast(kind) for f in found]), lambda x: x.isNotNull()) if found else F.array().cast(f"array<{kind}>")
-    few = F.broadcast(pairs.select("a_row", "b_row"))  # evidence, of a fixed number of rows
     return few.join(left, "a_row").join(right, "b_row").select("a_row", "b_row", differing.alias("differing"))
