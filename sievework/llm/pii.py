@@ -12,7 +12,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
@@ -20,11 +22,14 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 from .common import stash
 
 KINDS = ("email", "ip", "card", "phone", "id")
-#: A context is trusted from this confidence on, with so many different identifiers of the base (or one in SHARE of all edges, if more).
+#: A context is trusted from this confidence on, with so many different identifiers of the base, however large the input.
 CONFIDENT = 0.6
 SUPPORT = 5
-SHARE = 100_000
 ROUNDS = 3
+#: Up to so many trusted contexts go along with the function that reads texts; more are joined, with the same result.
+FEW = 200_000
+#: Bits of the filter (1 MB) that tells most of the words that are in no context; a join with the contexts tells the rest.
+BITS = 1 << 23
 
 Range = tuple[int, int]
 
@@ -114,95 +119,151 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32()))], names=["context", "value", "seed"])
 
 
-def _occurrences(docs: DataFrame, contexts: list[str]) -> DataFrame:
-    """(context, n): how often the texts hold each context, whatever follows. ``contexts`` has a proven bound, see SHARE."""
+def _bit(words: str) -> int:
+    return xxhash.xxh3_64_intdigest(words.encode()) % BITS
+
+
+def _holds(bits: bytes, words: str) -> int:
+    h = _bit(words)
+    return bits[h >> 3] >> (h & 7) & 1
+
+
+def _filter(contexts: DataFrame) -> bytes:
+    """BITS bits, those of each context and of each context's second word set. Its size is the same for any number of contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS // 64, dtype=np.uint64)
+        for b in batches:
+            for c in b.column(0).to_pylist():
+                for h in (_bit(c), _bit(c.split(" ")[1])):
+                    bits[h >> 6] |= np.uint64(1 << (h & 63))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bits[at].view(np.int64), pa.int64())], names=["place", "bits"])
+
+    found = contexts.select("context").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(BITS // 64, dtype="<i8")
+    bits[found.column("place").to_numpy()] = found.column("bits").to_numpy()
+    return bits.tobytes()
+
+
+def _occurrences(docs: DataFrame, bits: bytes, held: int = 100_000) -> DataFrame:
+    """(context, n): how often the texts hold each context, whatever follows. Some others that pass the filter are among them."""
+
+    def batch(counts: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["context", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = frozenset(contexts)
-        second = frozenset(c.split(" ")[1] for c in contexts)
+        second: dict[str, int] = {}
         counts: dict[str, int] = {}
         for b in batches:
             for t in b.column(0):
                 words = ["^", "^", *t.as_py().lower().split()]
                 for i, w in enumerate(words):
-                    if w in second and i and (c := f"{words[i - 1]} {w}") in wanted:
+                    known = second.get(w)
+                    if known is None:
+                        known = second[w] = _holds(bits, w)
+                    if known and i and _holds(bits, c := f"{words[i - 1]} {w}"):
                         counts[c] = counts.get(c, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["context", "n"])
+                if len(second) > held:
+                    second.clear()
+                if len(counts) > held:
+                    yield batch(counts)
+                    counts = {}
+        yield batch(counts)
 
     return docs.mapInArrow(run, "context string, n long").groupBy("context").agg(F.sum("n").alias("n"))
 
 
-def trusted_contexts(texts: DataFrame, confident: float = CONFIDENT, support: int = SUPPORT, rounds: int = ROUNDS) -> list[str]:
-    """Contexts that identifiers follow in ``texts(text)``.
+def trusted_contexts(texts: DataFrame, confident: float = CONFIDENT, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
+    """(context): contexts that identifiers follow in ``texts(text)``.
 
     The graph is aggregated to (context, value) with counts before anything is joined; a value that a third of all rows
-    hold is one node. Contexts with too little support are left out first, so that fewer than SHARE remain.
+    hold is one node. Contexts stay in tables, with the same support at any size: the driver sees their filter and marks.
     """
     edges = texts.mapInArrow(_seen, "context string, value string, seed int").groupBy("context", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = stash(edges, "edges")
-    total = edges.where("seed = 1").count()
-    least = max(support, total // SHARE + 1)
-    contexts = edges.where("seed = 1").groupBy("context").count().where(F.col("count") >= least).select("context")
-    kept = [r["context"] for r in contexts.collect()]
-    if not kept:
-        return []
-    occurrences = _occurrences(texts, kept)
-    graph = stash(edges.join(occurrences.withColumnRenamed("n", "occurs"), "context"), "graph")
+    contexts = stash(edges.where("seed = 1").groupBy("context").count().where(F.col("count") >= support).select("context"), "supported")
+    trusted = contexts.limit(0)
+    if contexts.isEmpty():
+        return trusted
+    occurrences = _occurrences(texts, _filter(contexts)).withColumnRenamed("n", "occurs")
+    graph = stash(edges.join(contexts, "context").join(occurrences, "context"), "graph")
     values = graph.groupBy("value").agg(F.max("seed").cast("double").alias("sure"))
-    trusted: list[str] = []
+    mark: tuple = (0, None, None)
     for _ in range(rounds):
         scored = graph.join(values, "value").groupBy("context").agg((F.sum(F.col("n") * F.col("sure")) / F.greatest(F.max("occurs"), F.sum("n"))).alias("confidence"))
         scored = stash(scored, "contexts")
-        now = sorted(r["context"] for r in scored.where(F.col("confidence") >= confident).collect())
-        if now == trusted:
+        trusted = scored.where(F.col("confidence") >= confident).select("context")
+        now = tuple(trusted.agg(F.count("*"), F.expr("bit_xor(xxhash64(context))"), F.expr("sum(cast(xxhash64(context) as decimal(38,0)))")).first())
+        if now == mark:
             break
-        trusted = now
+        mark = now
         sure = 1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))
         values = stash(graph.join(scored, "context").groupBy("value").agg(F.greatest(F.max("seed").cast("double"), sure).alias("sure")), "values")
     return trusted
 
 
-def _spans(text: str, trusted: frozenset[str]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans."""
-    base = base_spans(text)
-    more = [(a, 4, z) for a, z in candidates(text, base) if context(text, a) in trusted] if trusted else []
-    return base, sorted(base + more) if more else base
+def _marked(texts: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(_digest, _more): the identifiers after trusted contexts, for each different text that has any."""
+    bits = _filter(trusted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple[str, str, int, int]] = []
+            for t, digest in zip(b.column(0), b.column(1)):
+                text = t.as_py()
+                rows += [(digest.as_py(), c, a, z) for a, z in candidates(text, base_spans(text)) if _holds(bits, c := context(text, a))]
+            columns = zip(*rows) if rows else ((), (), (), ())
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_digest", "context", "start", "end"])
+
+    asked = texts.select("text", F.sha2("text", 256)).mapInArrow(run, "_digest string, context string, start long, end long").distinct()
+    return stash(asked.join(trusted, "context").groupBy("_digest").agg(F.collect_list(F.struct("start", "end")).alias("_more")), "marked")
 
 
-def find(docs: DataFrame, text_col: str = "text", trusted: list[str] | None = None, redacted: bool = False) -> DataFrame:
+def find(docs: DataFrame, text_col: str = "text", trusted: DataFrame | None = None, redacted: bool = False) -> DataFrame:
     """All columns of ``docs`` and two arrays of (start, kind, end), by start, then kind: ``base`` and ``spans`` (all).
 
     A null text counts as empty and has no spans; texts are read whole; every row has its result, repeated or not, and
     no rows give no rows. Added spans have the kind "id" and never touch a base span. Names that ``docs`` has already are
-    given a trailing underscore. With ``redacted``, spans in the text itself are replaced by their kinds.
+    given a trailing underscore. With ``redacted``, spans in the text itself are replaced by their kinds. ``trusted`` has
+    the contexts to go by, if they are known.
     """
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    contexts = frozenset(trusted_contexts(texts) if trusted is None else trusted)
+    trusted = trusted_contexts(texts) if trusted is None else trusted
+    few = trusted.limit(FEW + 1).count() <= FEW
+    contexts = frozenset(r["context"] for r in trusted.collect()) if few else frozenset()
     names = ["base", "spans"]
     for i, n in enumerate(names):
         while names[i] in docs.columns:
             names[i] += "_"
-    at = docs.columns.index(text_col)
+    at, width = docs.columns.index(text_col), len(docs.columns)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns, base, spans, texts = list(b.columns), [], [], []
-            for t in b.column(at):
+            columns, base, spans, texts = list(b.columns)[:width], [], [], []
+            marked = [None] * len(b) if few else b.column(width).to_pylist()
+            for t, m in zip(b.column(at), marked):
                 text = t.as_py()
-                x, y = _spans(text, contexts) if text else ([], [])
+                x = base_spans(text) if text else []
+                more = [(a, z) for a, z in candidates(text, x) if context(text, a) in contexts] if text and contexts else [(r["start"], r["end"]) for r in m or ()]
+                y = sorted(x + [(a, 4, z) for a, z in more])
                 base.append([{"start": a, "kind": k, "end": z} for a, k, z in x])
                 spans.append([{"start": a, "kind": k, "end": z} for a, k, z in y])
                 if redacted:
                     texts.append(redact(text, y) if y else text)
             if redacted:
                 columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(base, kind), pa.array(spans, kind)], names=[*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(base, kind), pa.array(spans, kind)], names=[*b.schema.names[:width], *names])
 
     schema = StructType([*docs.schema.fields])
     for n in names:
         schema = schema.add(n, _SPANS)
-    return docs.mapInArrow(run, schema)
+    if few:
+        return docs.mapInArrow(run, schema)
+    keyed = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
+    return keyed.join(_marked(texts, trusted), "_digest", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_more").mapInArrow(run, schema)
 
 
 def _listed(spans: str):

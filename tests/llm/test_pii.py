@@ -67,3 +67,20 @@ def test_redaction(spark):
     got = {r["doc_id"]: r["text"] for r in pii.find(documents(spark, rows), redacted=True).collect()}
     assert got == {1: "write to <EMAIL> or <PHONE>.", 2: None, 3: "nothing"}
     assert pii.redact("abcdef", [(1, 0, 4), (2, 3, 5)]) == "a<EMAIL>f"
+
+
+def test_unrelated_documents_take_no_identifiers_away(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SHARE", 10, raising=False)  # a share of the input that support once rose with
+    rows = [(i, f"please use contact number: +1 (555) 010-{1000 + i} today") for i in range(6)] + [(100, "please use contact number: 555-0199x7 today")]
+    rows += [(200 + i, f"w{i}q v{i}q u{i}@example.com") for i in range(200)]
+    found = {r["doc_id"]: [tuple(s) for s in r["spans_"]] for r in pii.find(documents(spark, rows)).collect()}
+    assert found[100] == [(27, 4, 37)]
+
+
+def test_contexts_too_many_to_send_are_joined(spark, monkeypatch):
+    rows = [(i, f"please use contact number: +1 (555) 010-{1000 + i} today") for i in range(6)]
+    rows += [(100, "please use contact number: 555-0199x7 today"), (100, "please use contact number: 555-0199x7 today"), (101, "the room of 12345"), (102, None), (103, "")]
+    sent = sorted(pii.find(documents(spark, rows), redacted=True).collect(), key=str)
+    monkeypatch.setattr(pii, "FEW", 0)
+    joined = sorted(pii.find(documents(spark, rows), redacted=True).collect(), key=str)
+    assert sent == joined and sum("<ID>" in (r["text"] or "") for r in joined) == 2
