@@ -42,6 +42,7 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_SPACE = re.compile(r"\s")
 _CANDIDATE = re.compile(r"(?<!\S)[(\[\"']{0,2}([A-Za-z0-9](?:[A-Za-z0-9]|[-_./:#](?=[A-Za-z0-9])){3,63})(?![^\s.,;:!?)\]\"'])")
 
 
@@ -86,9 +87,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def context(text: str, start: int) -> str:
-    """The two words before, in lower case, from at most 120 characters; '^' where the text starts."""
-    words = text[max(0, start - 120) : start].rsplit(None, 2)[-2:]
-    return " ".join((["^"] * 2 + words)[-2:]).lower()
+    """The two whole words before the token that ``start`` is in, in lower case; '^' where the text starts.
+
+    What the token has before the identifier (brackets, quotes, 'mailto:', 'key=') is no word of its own, so each context
+    is a pair of words as ``str.split`` gives them, which is how occurrences are counted.
+    """
+    width = 120
+    while True:
+        a = max(0, start - width)
+        words = text[a:start].rsplit(None, 4)
+        if start and words and not text[start - 1].isspace():
+            words.pop()
+        if not a or len(words) > 2:  # the first of them may be cut
+            return " ".join((["^"] * 2 + words)[-2:]).lower()
+        width *= 4
+
+
+def contexts(text: str, starts: list[int]) -> list[str]:
+    """The context of each start, in order; those within one token share it, so that long tokens are read once."""
+    out: list[str] = []
+    for i, start in enumerate(starts):
+        same = i and not _SPACE.search(text, starts[i - 1], start)
+        out.append(out[-1] if same else context(text, start))
+    return out
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[Range]:
@@ -113,8 +134,9 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(0):
             text = t.as_py()
             known = base_spans(text)
-            rows += [(context(text, a), text[a:z], 1) for a, _, z in known]
-            rows += [(context(text, a), text[a:z], 0) for a, z in candidates(text, known)]
+            rows += [(c, text[a:z], 1) for c, (a, _, z) in zip(contexts(text, [a for a, _, _ in known]), known)]
+            others = candidates(text, known)
+            rows += [(c, text[a:z], 0) for c, (a, z) in zip(contexts(text, [a for a, _ in others]), others)]
         columns = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32()))], names=["context", "value", "seed"])
 
@@ -128,7 +150,7 @@ def _holds(bits: bytes, words: str) -> int:
     return bits[h >> 3] >> (h & 7) & 1
 
 
-def _filter(contexts: DataFrame) -> bytes:
+def _filter(listed: DataFrame) -> bytes:
     """BITS bits, those of each context and of each context's second word set. Its size is the same for any number of contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +162,7 @@ def _filter(contexts: DataFrame) -> bytes:
         at = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bits[at].view(np.int64), pa.int64())], names=["place", "bits"])
 
-    found = contexts.select("context").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = listed.select("context").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(BITS // 64, dtype="<i8")
     bits[found.column("place").to_numpy()] = found.column("bits").to_numpy()
     return bits.tobytes()
@@ -182,12 +204,12 @@ def trusted_contexts(texts: DataFrame, confident: float = CONFIDENT, support: in
     """
     edges = texts.mapInArrow(_seen, "context string, value string, seed int").groupBy("context", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = stash(edges, "edges")
-    contexts = stash(edges.where("seed = 1").groupBy("context").count().where(F.col("count") >= support).select("context"), "supported")
-    trusted = contexts.limit(0)
-    if contexts.isEmpty():
+    supported = stash(edges.where("seed = 1").groupBy("context").count().where(F.col("count") >= support).select("context"), "supported")
+    trusted = supported.limit(0)
+    if supported.isEmpty():
         return trusted
-    occurrences = _occurrences(texts, _filter(contexts)).withColumnRenamed("n", "occurs")
-    graph = stash(edges.join(contexts, "context").join(occurrences, "context"), "graph")
+    occurrences = _occurrences(texts, _filter(supported)).withColumnRenamed("n", "occurs")
+    graph = stash(edges.join(supported, "context").join(occurrences, "context", "left"), "graph")
     values = graph.groupBy("value").agg(F.max("seed").cast("double").alias("sure"))
     mark: tuple = (0, None, None)
     for _ in range(rounds):
@@ -212,7 +234,8 @@ def _marked(texts: DataFrame, trusted: DataFrame) -> DataFrame:
             rows: list[tuple[str, str, int, int]] = []
             for t, digest in zip(b.column(0), b.column(1)):
                 text = t.as_py()
-                rows += [(digest.as_py(), c, a, z) for a, z in candidates(text, base_spans(text)) if _holds(bits, c := context(text, a))]
+                found = candidates(text, base_spans(text))
+                rows += [(digest.as_py(), c, a, z) for c, (a, z) in zip(contexts(text, [a for a, _ in found]), found) if _holds(bits, c)]
             columns = zip(*rows) if rows else ((), (), (), ())
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_digest", "context", "start", "end"])
@@ -232,7 +255,7 @@ def find(docs: DataFrame, text_col: str = "text", trusted: DataFrame | None = No
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     trusted = trusted_contexts(texts) if trusted is None else trusted
     few = trusted.limit(FEW + 1).count() <= FEW
-    contexts = frozenset(r["context"] for r in trusted.collect()) if few else frozenset()
+    sent = frozenset(r["context"] for r in trusted.collect()) if few else frozenset()
     names = ["base", "spans"]
     for i, n in enumerate(names):
         while names[i] in docs.columns:
@@ -247,7 +270,10 @@ def find(docs: DataFrame, text_col: str = "text", trusted: DataFrame | None = No
             for t, m in zip(b.column(at), marked):
                 text = t.as_py()
                 x = base_spans(text) if text else []
-                more = [(a, z) for a, z in candidates(text, x) if context(text, a) in contexts] if text and contexts else [(r["start"], r["end"]) for r in m or ()]
+                more = [(r["start"], r["end"]) for r in m or ()]
+                if text and sent:
+                    others = candidates(text, x)
+                    more = [s for c, s in zip(contexts(text, [a for a, _ in others]), others) if c in sent]
                 y = sorted(x + [(a, 4, z) for a, z in more])
                 base.append([{"start": a, "kind": k, "end": z} for a, k, z in x])
                 spans.append([{"start": a, "kind": k, "end": z} for a, k, z in y])

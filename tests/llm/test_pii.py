@@ -84,3 +84,17 @@ def test_contexts_too_many_to_send_are_joined(spark, monkeypatch):
     monkeypatch.setattr(pii, "FEW", 0)
     joined = sorted(pii.find(documents(spark, rows), redacted=True).collect(), key=str)
     assert sent == joined and sum("<ID>" in (r["text"] or "") for r in joined) == 2
+
+
+def test_contexts_are_whole_words(spark):
+    for text, word in (("my account number (AB12345)", "AB"), ('the "account number" <a@b.cd>', "a@"), ("see mailto:a@b.cd", "a@"), ("x account" + " " * 500 + "number a@b.cd", "a@"), ("y" * 300 + " number 12", "12"), ("a@b.cd", "a@")):
+        expected = ["^", "^", *text.lower().split()][:-1][-2:]
+        assert pii.context(text, text.index(word)) == " ".join(expected)
+    many = "k " + "1.2.3.4," * 20_000 + " one two 7x8"
+    starts = [a for a, _, _ in pii.base_spans(many)] + [len(many) - 3]
+    assert set(pii.contexts(many, starts)) == {"^ k", "one two"}
+
+    rows = [(i, f"my account number (user{i}@example.com) is here") for i in range(8)] + [(20 + i, f'say "key="{i}" link <u{i}@example.org>') for i in range(8)]
+    rows += [(100, "my account number (AB12345) is here"), (101, "my account number [AB12346] is here"), (102, "my account number" + " " * 300 + "AB12347 is here"), (103, 'link "AB12348"')]
+    found = {r["doc_id"]: [r["text"][a:z] for a, _, z in r["spans_"]] for r in pii.find(documents(spark, rows)).collect()}
+    assert [found[i] for i in range(100, 104)] == [["AB12345"], ["AB12346"], ["AB12347"], []]
