@@ -32,8 +32,8 @@ LETTERS = 27  # a to z, and 0 for all else
 _WORD = re.compile(r"[^\W\d_]+")
 _LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 _SIGNS = frozenset("._-*~'`^/\\,:;#=%&\"<>{}[]()!+|$@")
-_NOISY = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_]_+[^\W\d_]|[^\W_][0-9@$!|+(€£¡]+|[0-9@$!|+(€£¡]+[^\W\d_]|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+_DOUBLED = re.compile(r"(.)\1")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s++\S){2,}(?!\S)")
 _SUBSTITUTED, _DROPPED = -1.0, -2.5
 
 
@@ -101,6 +101,17 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def decoded(token: str, model: np.ndarray) -> str | None:
+    """The likeliest reading of a token, if it has several or its only one is another than itself."""
+    if token.isalpha() and not _DOUBLED.search(token):
+        return None
+    columns = lattice(token)
+    if any(len(options) > 1 for options in columns):
+        return viterbi(columns, model)
+    reading = "".join(c for ((c, _),) in columns)
+    return None if reading == token else reading
+
+
 def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray) -> str:
     """The likeliest reading. States are the last two letters read; the word ends at a boundary."""
 
@@ -143,9 +154,8 @@ class Reader:
     def _token(self, token: str) -> tuple[str, ...]:
         words = _WORD.findall(token)
         core = token.lstrip("\"'([{<").rstrip("\"')]}>.,;:!?%&*#$-_~")
-        if _NOISY.search(core):
-            restored = viterbi(lattice(core), self.model)
-            words += _WORD.findall(restored)
+        for t in {token, core}:  # signs at the ends may stand for letters or be punctuation
+            words += _WORD.findall(decoded(t, self.model) or "")
         found = {f for w in words for f in _named(w)}
         if self.lexicon is not None:
             found &= self.lexicon.keys()

@@ -90,3 +90,11 @@ def test_viterbi_is_exact():
 def test_trigram_counts():
     counts = toxicity.trigram_counts(iter([b"AbC"]))
     assert counts[1 * 27 * 27 + 2 * 27 + 3] == 1 and counts.sum() == 5
+
+
+def test_every_token_with_several_readings_is_decoded():
+    counts = toxicity.trigram_counts(iter([b"the", b"stupid", b"idiot", b"is", b"an", b"ass"] * 50)).reshape(27, 27, 27) + 0.1
+    reader = toxicity.Reader(np.log(counts / counts.sum(axis=2, keepdims=True)))
+    for noisy, word in (("stuupid", "stupid"), ("idioot", "idiot"), ("a$$", "ass"), ("@$$", "ass"), ("(a$$)", "ass"), ("stuupid,", "stupid"), ("s t  u\tp \n i  d", "stupid"), ("st.up_id", "stupid")):
+        assert word in reader.features(f"the {noisy} is"), noisy
+    assert reader.features("the stupid") == {"the", "stupid", "stup-", "stupi-"}
