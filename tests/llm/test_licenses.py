@@ -59,3 +59,14 @@ def test_bounds_and_known_notices(spark):
     assert [m[0] for m in known.matches("This work is licensed under the GNU General Public License, version 3.")] == ["GPL-3.0"]
     assert known.matches("the license of the work is under public discussion") == []
     assert licenses.scan(documents(spark, [])).count() == 0
+
+
+def test_headers_and_spdx_lines_are_named_by_their_own_licence():
+    known = licenses.Templates(licenses.TEMPLATES)
+    header = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    for name, what, title, version in (("GPL-2.0", "program", "General Public License", "2"), ("GPL-3.0", "program", "General Public License", "3"), ("LGPL", "library", "Lesser General Public License", "2.1"), ("LGPL", "program", "Lesser General Public License", "3"), ("AGPL-3.0", "program", "Affero General Public License", "3")):
+        assert [m[0] for m in known.matches("x y\n" + header.format(what, title, version) + "\nz")] == [name], (name, version)
+    for name, spdx in (("MIT", "MIT"), ("ISC", "ISC"), ("BSD", "BSD-3-Clause"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2.0-only"), ("GPL-3.0", "GPL-3.0-or-later"), ("LGPL", "LGPL-2.1-or-later"), ("AGPL-3.0", "AGPL-3.0-only"), ("MPL-2.0", "MPL-2.0"), ("CC-BY", "CC-BY-4.0"), ("CC-BY-SA", "CC-BY-SA-4.0"), ("CC-BY-NC", "CC-BY-NC-4.0"), ("CC0", "CC0-1.0"), ("Unlicense", "Unlicense")):
+        assert [m[0] for m in known.matches(f"# SPDX-License-Identifier: {spdx}\nimport x")] == [name], spdx
+    for name, templates in licenses.TEMPLATES.items():
+        assert all([m[0] for m in known.matches(t)] == [name] for t in templates), name
