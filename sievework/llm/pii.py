@@ -1,34 +1,43 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four kinds of identifiers have patterns of their own (the base). What they stand next to induces lexical patterns: the two
-words before. In a bipartite graph of such contexts and the identifiers seen in them, a context's confidence is the share
-of all its occurrences that confident instances follow, and an instance's is that at least one of its contexts is
-right; a few rounds let confidence spread from the base. Contexts of high confidence then mark identifiers in shapes that
-the base does not know.
+Seed entities are the identifiers of four kinds with expressions of their own (the base) and values assigned to names that
+say what they hold (``token = "..."``). What they stand in induces lexical patterns of three forms: the two words before
+("L"), the name that a value is assigned to ("K"), and the shape of a value that mixes letters and digits ("S"). In the
+bipartite graph of patterns and instances, a pattern's confidence is the share of all its occurrences that sure instances
+fill. A pattern is trusted from CONFIDENT on with SUPPORT different sure instances, its confidence is settled then, and its
+instances are as sure as the best of their trusted patterns. Rounds go on until none is added, which is a fixpoint: the
+set of trusted patterns only grows. Trusted patterns mark identifiers that the seeds do not know.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice, takewhile
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from .common import stash
+from .common import skewed_lookup, stash
 
 KINDS = ("email", "ip", "card", "phone", "id")
-#: A context is trusted from this confidence on, with so many different identifiers of the base, however large the input.
+ID = KINDS.index("id")
+#: A pattern is trusted from this confidence on, with so many different sure instances, however large the input.
 CONFIDENT = 0.6
 SUPPORT = 5
-ROUNDS = 3
-#: Up to so many trusted contexts go along with the function that reads texts; more are joined, with the same result.
+#: A value assigned to a name that ends so is a seed if it mixes letters and digits over SECRET characters or more.
+SEED_NAMES = ("token", "secret", "password", "passwd", "apikey", "api_key", "access_key", "private_key")
+SECRET = 16
+#: Characters from which on the shape of a value is a pattern.
+SHAPED = 12
+#: Up to so many trusted patterns go along with the function that reads texts; more are joined, with the same result.
 FEW = 200_000
-#: Bits of the filter (1 MB) that tells most of the words that are in no context; a join with the contexts tells the rest.
+#: Bits of the filter (1 MB) that tells most of the words and patterns that are not looked for; a join tells the rest.
 BITS = 1 << 23
 
 Range = tuple[int, int]
@@ -43,7 +52,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SPACE = re.compile(r"\s")
-_CANDIDATE = re.compile(r"(?<!\S)[(\[\"']{0,2}([A-Za-z0-9](?:[A-Za-z0-9]|[-_./:#](?=[A-Za-z0-9])){3,63})(?![^\s.,;:!?)\]\"'])")
+_RUN = re.compile(r"(?<![A-Za-z0-9_./:#-])[A-Za-z_./:#-]*+[0-9][A-Za-z0-9_./:#-]*+")
+_JOINERS = "_./:#-"
+_OPERATOR = re.compile(r"[=:]+>?")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_LETTER = re.compile(r"[A-Za-z]")
+_SEGMENT = re.compile(r"[A-Za-z0-9]+")
+_HEX = re.compile(r"[0-9A-Fa-f]+\Z")
 
 
 def _luhn(digits: str) -> bool:
@@ -113,32 +128,121 @@ def contexts(text: str, starts: list[int]) -> list[str]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[Range]:
-    """Tokens with a digit that look like identifiers and touch no base span. Only lines that hold a digit are searched."""
+    """Runs of letters, digits and joining signs, with a digit, of four characters or more, that look like identifiers.
+
+    They are never part of a word of other letters, nor of a base span; one may hold a base span whole.
+    """
     out: list[Range] = []
     if not _DIGIT.search(text):
         return out
-    at = 0
-    for line in text.splitlines(keepends=True):
-        if _DIGIT.search(line):
-            for m in _CANDIDATE.finditer(line):
-                a, b = m.start(1) + at, m.end(1) + at
-                if _DIGIT.search(m.group(1)) and not any(a < z and x < b for x, _, z in base):
-                    out.append((a, b))
-        at += len(line)
+    k = 0
+    for m in _RUN.finditer(text):
+        run = m.group()
+        a, z = m.start() + len(run) - len(run.lstrip(_JOINERS)), m.end() - (len(run) - len(run.rstrip(_JOINERS)))
+        if z - a < 4 or (a and (text[a - 1].isalnum() or text[a - 1] == "@")) or (z < len(text) and (text[z].isalnum() or text[z] == "@")):
+            continue
+        while k < len(base) and base[k][2] <= a:
+            k += 1
+        touched = takewhile(lambda s: s[0] < z, islice(base, k, None))
+        if all(y <= a or (a <= x and y <= z and (x, y) != (a, z)) for x, _, y in touched):
+            out.append((a, z))
+    return out
+
+
+def assignments(text: str) -> dict[int, str]:
+    """Where a value starts, and the name, in lower case, that it is assigned to by =, :, := or =>; quotes and brackets are passed over."""
+    out: dict[int, str] = {}
+    n = len(text)
+    for m in _OPERATOR.finditer(text):
+        a, z = m.start(), m.end()
+        while a and text[a - 1] in " \t":
+            a -= 1
+        if a and text[a - 1] in "\"'":
+            a -= 1
+        b = a
+        while b and text[b - 1] in _NAME:
+            b -= 1
+        name = text[b:a].strip("_.-").lower()
+        if not name or not _LETTER.match(name) or (b and text[b - 1].isalnum()):
+            continue
+        while z < n and text[z] in " \t":
+            z += 1
+        for _ in range(2):
+            if z < n and text[z] in "\"'([":
+                z += 1
+        if z < n and not text[z].isspace():
+            out[z] = name
+    return out
+
+
+def shape(value: str) -> str | None:
+    """Classes and lengths of a value's segments: d digits, h hexadecimal, a letters, x both. None for short values and those without letters or digits."""
+    if len(value) < SHAPED or not _DIGIT.search(value) or not _LETTER.search(value):
+        return None
+
+    def named(m: re.Match) -> str:
+        part = m.group()
+        kind = "d" if part.isdigit() else "h" if _HEX.match(part) and _DIGIT.search(part) else "a" if part.isalpha() else "x"
+        return f"{kind}{len(part)}"
+
+    return _SEGMENT.sub(named, value)
+
+
+def is_seed(name: str | None, value: str) -> bool:
+    """Whether the name that the value is assigned to says that it is one to hide."""
+    return bool(name) and len(value) >= SECRET and name.replace("-", "_").endswith(SEED_NAMES) and bool(_DIGIT.search(value)) and bool(_LETTER.search(value))
+
+
+class Instance(NamedTuple):
+    """A span; kind is its place in KINDS, and seed whether it is sure from the start."""
+
+    start: int
+    end: int
+    kind: int
+    seed: bool
+    patterns: list[str]
+
+
+def instances(text: str) -> list[Instance]:
+    """Base spans and candidates of a text with the patterns that they fill."""
+    if not _DIGIT.search(text) and "@" not in text:
+        return []
+    base = base_spans(text)
+    names = assignments(text)
+    found = sorted(base + [(a, ID, z) for a, z in candidates(text, base)])
+    out = []
+    for (a, kind, z), words in zip(found, contexts(text, [a for a, _, _ in found])):
+        name, value = names.get(a), text[a:z]
+        patterns = [f"L{words}"]
+        if name:
+            patterns.append(f"K{name}")
+        if kind == ID and (s := shape(value)):
+            patterns.append(f"S{s}")
+        out.append(Instance(a, z, kind, kind != ID or is_seed(name, value), patterns))
     return out
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pattern, value, seed, n): edges of the graph. A value is named by a hash; assignments of anything else count against their name, under no value."""
     for b in batches:
-        rows: list[tuple[str, str, int]] = []
+        counts: dict[tuple[str, str, int], int] = {}
         for t in b.column(0):
             text = t.as_py()
-            known = base_spans(text)
-            rows += [(c, text[a:z], 1) for c, (a, _, z) in zip(contexts(text, [a for a, _, _ in known]), known)]
-            others = candidates(text, known)
-            rows += [(c, text[a:z], 0) for c, (a, z) in zip(contexts(text, [a for a, _ in others]), others)]
-        columns = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32()))], names=["context", "value", "seed"])
+            own = instances(text)
+            for i in own:
+                value = xxhash.xxh3_128_hexdigest(text[i.start : i.end].encode())
+                for p in i.patterns:
+                    edge = (p, value, int(i.seed))
+                    counts[edge] = counts.get(edge, 0) + 1
+            if "=" in text or ":" in text:
+                filled = {i.start for i in own}
+                for start, name in assignments(text).items():
+                    if start not in filled:
+                        edge = (f"K{name}", "", 0)
+                        counts[edge] = counts.get(edge, 0) + 1
+        columns = list(zip(*counts)) or [()] * 3
+        kinds = (pa.string(), pa.string(), pa.int32())
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, kinds)], pa.array(list(counts.values()), pa.int64())], names=["pattern", "value", "seed", "n"])
 
 
 def _bit(words: str) -> int:
@@ -151,28 +255,28 @@ def _holds(bits: bytes, words: str) -> int:
 
 
 def _filter(listed: DataFrame) -> bytes:
-    """BITS bits, those of each context and of each context's second word set. Its size is the same for any number of contexts."""
+    """BITS bits, those of each pattern and of the second word of each pair of words. Its size is the same for any number of patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BITS // 64, dtype=np.uint64)
         for b in batches:
             for c in b.column(0).to_pylist():
-                for h in (_bit(c), _bit(c.split(" ")[1])):
+                for h in (_bit(c), _bit(c.split(" ")[1] if c[0] == "L" else c)):
                     bits[h >> 6] |= np.uint64(1 << (h & 63))
         at = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bits[at].view(np.int64), pa.int64())], names=["place", "bits"])
 
-    found = listed.select("context").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = listed.select("pattern").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(BITS // 64, dtype="<i8")
     bits[found.column("place").to_numpy()] = found.column("bits").to_numpy()
     return bits.tobytes()
 
 
 def _occurrences(docs: DataFrame, bits: bytes, held: int = 100_000) -> DataFrame:
-    """(context, n): how often the texts hold each context, whatever follows. Some others that pass the filter are among them."""
+    """(pattern, occurs): how often the texts hold each pair of words, whatever follows. Some others that pass the filter are among them."""
 
     def batch(counts: dict[str, int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["context", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         second: dict[str, int] = {}
@@ -183,8 +287,10 @@ def _occurrences(docs: DataFrame, bits: bytes, held: int = 100_000) -> DataFrame
                 for i, w in enumerate(words):
                     known = second.get(w)
                     if known is None:
-                        known = second[w] = _holds(bits, w)
-                    if known and i and _holds(bits, c := f"{words[i - 1]} {w}"):
+                        known = _holds(bits, w)
+                        if len(w) < 100:  # what is remembered is bounded in bytes
+                            second[w] = known
+                    if known and i and _holds(bits, c := f"L{words[i - 1]} {w}"):
                         counts[c] = counts.get(c, 0) + 1
                 if len(second) > held:
                     second.clear()
@@ -193,69 +299,78 @@ def _occurrences(docs: DataFrame, bits: bytes, held: int = 100_000) -> DataFrame
                     counts = {}
         yield batch(counts)
 
-    return docs.mapInArrow(run, "context string, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("occurs"))
 
 
-def trusted_contexts(texts: DataFrame, confident: float = CONFIDENT, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """(context): contexts that identifiers follow in ``texts(text)``.
+def trusted_patterns(texts: DataFrame, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
+    """(pattern, confidence): patterns of ``texts(text)`` that identifiers fill.
 
-    The graph is aggregated to (context, value) with counts before anything is joined; a value that a third of all rows
-    hold is one node. Contexts stay in tables, with the same support at any size: the driver sees their filter and marks.
+    The graph is aggregated to (pattern, value) with counts before anything is joined; a value that a third of all rows
+    hold is one node. Patterns with fewer than ``support`` different values can never be trusted and are left out at
+    once. Everything stays in tables, with the same support at any size; the driver sees filters and counts.
     """
-    edges = texts.mapInArrow(_seen, "context string, value string, seed int").groupBy("context", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    edges = texts.mapInArrow(_seen, "pattern string, value string, seed int, n long").groupBy("pattern", "value").agg(F.sum("n").alias("n"), F.max("seed").alias("seed"))
     edges = stash(edges, "edges")
-    supported = stash(edges.where("seed = 1").groupBy("context").count().where(F.col("count") >= support).select("context"), "supported")
-    trusted = supported.limit(0)
-    if supported.isEmpty():
-        return trusted
-    occurrences = _occurrences(texts, _filter(supported)).withColumnRenamed("n", "occurs")
-    graph = stash(edges.join(supported, "context").join(occurrences, "context", "left"), "graph")
-    values = graph.groupBy("value").agg(F.max("seed").cast("double").alias("sure"))
-    mark: tuple = (0, None, None)
-    for _ in range(rounds):
-        scored = graph.join(values, "value").groupBy("context").agg((F.sum(F.col("n") * F.col("sure")) / F.greatest(F.max("occurs"), F.sum("n"))).alias("confidence"))
-        scored = stash(scored, "contexts")
-        trusted = scored.where(F.col("confidence") >= confident).select("context")
-        now = tuple(trusted.agg(F.count("*"), F.expr("bit_xor(xxhash64(context))"), F.expr("sum(cast(xxhash64(context) as decimal(38,0)))")).first())
-        if now == mark:
-            break
-        mark = now
-        sure = 1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))
-        values = stash(graph.join(scored, "context").groupBy("value").agg(F.greatest(F.max("seed").cast("double"), sure).alias("sure")), "values")
-    return trusted
+    met = edges.groupBy("pattern").agg(F.count(F.when(F.col("value") != "", 1)).alias("values"), F.sum("n").alias("sum_n"), F.count("*").alias("degree"))
+    met = stash(met.where(F.col("values") >= support), "met")
+    none = met.select("pattern", F.lit(0.0).alias("confidence")).limit(0)
+    pairs = met.where(F.col("pattern").startswith("L"))
+    if met.isEmpty():
+        return none
+    total = edges.count()
+    if pairs.isEmpty():
+        sized = met.withColumn("size", F.col("sum_n"))
+    else:
+        occurrences = _occurrences(texts, _filter(pairs))
+        # of a name or a shape every occurrence is an edge; pairs of words also stand before other things
+        sized = met.join(occurrences, "pattern", "left").withColumn("size", F.greatest("sum_n", F.coalesce("occurs", F.lit(0))))
+    sized = stash(sized.select("pattern", "size", "degree", F.col("degree").alias("rows")), "sized")
+    graph = stash(skewed_lookup(edges, sized, "pattern", "rows", total).withColumnRenamed("degree", "g_degree"), "graph")
+    sure = stash(graph.where("value <> ''").groupBy("value").agg(F.max("seed").cast("double").alias("sure"), F.count("*").alias("degree")), "sure")
+    trusted, total = stash(none, "trusted"), graph.count()
+    while True:
+        scored = skewed_lookup(graph, sure.where("sure > 0"), "value", "degree", total).groupBy("pattern").agg(
+            F.least(F.lit(1.0), F.sum(F.col("n") * F.col("sure")) / F.max("size")).alias("confidence"), F.count("*").alias("filled"), F.max("g_degree").alias("degree")
+        )
+        new = scored.where((F.col("confidence") >= confident) & (F.col("filled") >= support)).select("pattern", "confidence", "degree").join(trusted, "pattern", "left_anti")
+        new = stash(new, "new")
+        if new.isEmpty():
+            return trusted
+        trusted = stash(trusted.unionByName(new.drop("degree")), "trusted")
+        marked = skewed_lookup(graph, new, "pattern", "degree", total).where("value <> ''").groupBy("value").agg(F.max("confidence").alias("now"))
+        sure = stash(sure.join(marked, "value", "left").select("value", F.greatest("sure", F.coalesce("now", F.lit(0.0))).alias("sure"), "degree"), "sure")
 
 
 def _marked(texts: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(_digest, _more): the identifiers after trusted contexts, for each different text that has any."""
+    """(_digest, _more): the identifiers that fill trusted patterns, for each different text that has any."""
     bits = _filter(trusted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple[str, str, int, int]] = []
             for t, digest in zip(b.column(0), b.column(1)):
-                text = t.as_py()
-                found = candidates(text, base_spans(text))
-                rows += [(digest.as_py(), c, a, z) for c, (a, z) in zip(contexts(text, [a for a, _ in found]), found) if _holds(bits, c)]
+                for i in instances(t.as_py()):
+                    rows += [(digest.as_py(), p, i.start, i.end) for p in i.patterns if i.kind == ID and _holds(bits, p)]
             columns = zip(*rows) if rows else ((), (), (), ())
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_digest", "context", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_digest", "pattern", "start", "end"])
 
-    asked = texts.select("text", F.sha2("text", 256)).mapInArrow(run, "_digest string, context string, start long, end long").distinct()
-    return stash(asked.join(trusted, "context").groupBy("_digest").agg(F.collect_list(F.struct("start", "end")).alias("_more")), "marked")
+    asked = texts.select("text", F.sha2("text", 256)).mapInArrow(run, "_digest string, pattern string, start long, end long").distinct()
+    return stash(asked.join(trusted, "pattern").groupBy("_digest").agg(F.collect_set(F.struct("start", "end")).alias("_more")), "marked")
 
 
 def find(docs: DataFrame, text_col: str = "text", trusted: DataFrame | None = None, redacted: bool = False) -> DataFrame:
     """All columns of ``docs`` and two arrays of (start, kind, end), by start, then kind: ``base`` and ``spans`` (all).
 
     A null text counts as empty and has no spans; texts are read whole; every row has its result, repeated or not, and
-    no rows give no rows. Added spans have the kind "id" and never touch a base span. Names that ``docs`` has already are
-    given a trailing underscore. With ``redacted``, spans in the text itself are replaced by their kinds. ``trusted`` has
-    the contexts to go by, if they are known.
+    no rows give no rows. Added spans, seeds that are not of the base and what fills trusted patterns, have the kind "id"
+    and are never part of a base span. Names that ``docs`` has already are given a trailing underscore. With ``redacted``,
+    spans in the text itself are replaced by their kinds. ``trusted`` has the patterns to go by, if they are known.
     """
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    trusted = trusted_contexts(texts) if trusted is None else trusted
+    trusted = trusted_patterns(texts) if trusted is None else trusted
     few = trusted.limit(FEW + 1).count() <= FEW
-    sent = frozenset(r["context"] for r in trusted.collect()) if few else frozenset()
+    sent = frozenset(r["pattern"] for r in trusted.select("pattern").collect()) if few else frozenset()
     names = ["base", "spans"]
     for i, n in enumerate(names):
         while names[i] in docs.columns:
@@ -269,12 +384,11 @@ def find(docs: DataFrame, text_col: str = "text", trusted: DataFrame | None = No
             marked = [None] * len(b) if few else b.column(width).to_pylist()
             for t, m in zip(b.column(at), marked):
                 text = t.as_py()
-                x = base_spans(text) if text else []
-                more = [(r["start"], r["end"]) for r in m or ()]
-                if text and sent:
-                    others = candidates(text, x)
-                    more = [s for c, s in zip(contexts(text, [a for a, _ in others]), others) if c in sent]
-                y = sorted(x + [(a, 4, z) for a, z in more])
+                own = instances(text) if text else []
+                x = [(i.start, i.kind, i.end) for i in own if i.kind != ID]
+                more = {(r["start"], r["end"]) for r in m or ()}
+                more |= {(i.start, i.end) for i in own if i.kind == ID and (i.seed or not sent.isdisjoint(i.patterns))}
+                y = sorted(x + [(a, ID, z) for a, z in more])
                 base.append([{"start": a, "kind": k, "end": z} for a, k, z in x])
                 spans.append([{"start": a, "kind": k, "end": z} for a, k, z in y])
                 if redacted:
@@ -310,5 +424,8 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    return find(docs).select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+    def count(spans: str, kind: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    return find(docs).select("doc_id", *[count("base", k) for k in range(ID)], F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"), count("spans", ID))
