@@ -2,28 +2,72 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _OWN_DIRS: dict[str, str] = {}
+_WRITTEN: dict[str, set[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or, on one machine only, one of our own where that is unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = sc.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="sievework-")
     return _OWN_DIRS[app]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _clean(spark: SparkSession) -> None:
+    """At the end of the process: what was written for a session that is still running goes."""
+    sc = spark.sparkContext
+    if sc._jsc is not None:
+        for path in _WRITTEN.pop(sc.applicationId, ()):
+            _delete(spark, path)
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and an executor's loss costs nothing.
+
+    The table stays until ``discard`` or the end of the process.
+    """
+    spark = df.sparkSession
+    bound_batches(spark)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        _WRITTEN[app] = set()
+        atexit.register(_clean, spark)
+    _WRITTEN[app].add(path)
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stashed = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stash`` wrote, once nothing reads it any more."""
+    path, spark = df._stashed, df.sparkSession
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
+    _delete(spark, path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers can import it anywhere."""
     sc = spark.sparkContext
