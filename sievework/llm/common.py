@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bound_batches, shared_dir
+from ..session import bound_batches, discard, shared_dir, stash
 
-__all__ = ["bounded_rank", "buckets_for", "id_text", "shared_dir", "skewed_lookup", "stash"]
+__all__ = ["bounded_rank", "buckets_for", "discard", "id_text", "shared_dir", "skewed_lookup", "stash"]
 
 #: Keys holding more than 1/HOT_SHARE of all rows are joined by broadcast; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 512
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and an executor's loss costs nothing."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text (null: empty), under fixed names, whatever other columns there are."""
     bound_batches(df.sparkSession)

@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, skewed_lookup, stash
 
 
-def _step(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over (a, b): each node's neighbours are tied to the least node about it."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One star step over (a, b): each node's neighbours are tied to the least node about it.
+
+    The least neighbour and the degree of each node are written first; the edges then meet them through
+    ``skewed_lookup``, so that a hub's rows are joined by broadcast and no task holds them all.
+    """
     if large:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    tied = both.join(least, "a")
+    least = stash(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select("a", F.least("a", "m").alias("m"), "degree"), "least")
+    total = least.agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
+    tied = skewed_lookup(both, least, "a", "degree", total)
     if large:
         out = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    out = stash(out.where("a <> b").distinct(), "edges")
+    discard(least)
+    discard(edges)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -31,13 +39,13 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; root is the component's least node.
 
-    Each round is written to the shared folder. A hub's rows may be many, but only its minimum is aggregated (map-side
-    first), and the join back is one that AQE splits. Ends when a round leaves the edges as they were.
+    Each step is written to the shared folder, and what it was made from is deleted. Ends when a round leaves the edges
+    as they were.
     """
     edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(edges)
     while True:
-        edges = stash(_step(_step(edges, True), False), "edges")
+        edges = _star(_star(edges, True), False)
         new = _mark(edges)
         if new == mark:
             break
