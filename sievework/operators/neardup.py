@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 from ..functions.canonical import record_digest
 from ..functions.shingles import FAMILY, permutations, rows_per_band, shingles, signature, u32
 from ..functions.text import near_text
+from ..session import discard, stash
 from .extraction import near_source
 
 #: Up to this many rows all pairs are compared.
 PAIRWISE_LIMIT = 250
+#: Texts of a band's bucket that meet in one task; larger buckets are split.
+BUCKET_BLOCK = 1000
 
 
 @dataclass(frozen=True)
@@ -52,38 +55,59 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return by_record.groupBy("t").agg(F.first("near").alias("near"), F.sum("n").alias("n"), F.sum(F.expr("n * (n - 1) div 2")).alias("same"))
 
 
-def shingled(texts: DataFrame, config: NearDuplicateConfig, bands: bool) -> DataFrame:
-    """(t, shingles, keys): sorted 64-bit hashes of the distinct shingles; a key for each band if asked."""
+def banded(texts: DataFrame, config: NearDuplicateConfig) -> DataFrame:
+    """(t, keys): a key for each band. Shingles are made and forgotten; a text leaves some hundred bytes."""
     a, b = permutations(config.num_perm, config.seed, config.family)
     rows_each = rows_per_band(config.num_perm)
     size = config.shingle_size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed, keys = [], []
+            keys = []
             for t in batch.column(1):
                 grams = [s.encode() for s in shingles(t.as_py(), size)]
-                packed.append(np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), dtype=np.uint64, count=len(grams))).tobytes())
-                if bands:
-                    s = signature(np.fromiter(map(u32, grams), dtype=np.uint32, count=len(grams)), a, b).reshape(-1, rows_each)
-                    keys.append([int(xxhash.xxh64_intdigest(s[i].tobytes(), seed=i) >> 1) for i in range(len(s))])
-                else:
-                    keys.append([])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["t", "shingles", "keys"])
+                s = signature(np.fromiter(map(u32, grams), dtype=np.uint32, count=len(grams)), a, b).reshape(-1, rows_each)
+                keys.append([int(xxhash.xxh64_intdigest(s[i].tobytes(), seed=i) >> 1) for i in range(len(s))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["t", "keys"])
 
-    return texts.select("t", "near").mapInArrow(run, "t string, shingles binary, keys array<long>")
+    return texts.select("t", "near").mapInArrow(run, "t string, keys array<long>")
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """(l, r): texts that share a band. A pair is given by the first band it shares only, so no distinct is needed."""
+def shingled(texts: DataFrame, config: NearDuplicateConfig) -> DataFrame:
+    """(t, shingles): sorted 64-bit hashes of the distinct shingles."""
+    size = config.shingle_size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for t in batch.column(1):
+                grams = shingles(t.as_py(), size)
+                packed.append(np.sort(np.fromiter((xxhash.xxh3_64_intdigest(s.encode()) for s in grams), dtype=np.uint64, count=len(grams))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["t", "shingles"])
+
+    return texts.select("t", "near").mapInArrow(run, "t string, shingles binary")
+
+
+def candidates(signed: DataFrame, block: int = BUCKET_BLOCK) -> DataFrame:
+    """(l, r): texts of ``signed(t, keys)`` that share a band. A pair is given by the first band it shares only, so no distinct is needed.
+
+    Buckets are counted first. Those of one text go; those of more than ``block`` are split into blocks, and each pair of
+    blocks is a bucket of its own, so that no task meets all pairs of a hot one.
+    """
     rows = signed.select("t", "keys", F.posexplode("keys").alias("band", "key"))
-    l, r = rows.alias("l"), rows.alias("r")
+    sizes = rows.groupBy("band", "key").count().where(F.col("count") > 1).select("band", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")
+    met = rows.join(sizes, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("t", "keys", "band", "key", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    l, r = met.alias("l"), met.alias("r")
     first = F.array_position(F.zip_with("l.keys", "r.keys", lambda x, y: x == y), F.lit(True)) == F.col("l.band") + 1
-    return l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.t") < F.col("r.t"))).where(first).select(F.col("l.t").alias("l"), F.col("r.t").alias("r"))
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("band", "key", "x", "y")]
+    apart = (F.col("l.x") == F.col("l.y")) | (F.col("l.own") != F.col("r.own"))
+    return l.join(r, same[0] & same[1] & same[2] & same[3] & (F.col("l.t") < F.col("r.t")) & apart).where(first).select(F.col("l.t").alias("l"), F.col("r.t").alias("r"))
 
 
-def scored(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """(l, r, score) of the pairs whose Jaccard similarity reaches the threshold."""
+def scored(pairs: DataFrame, texts: DataFrame, config: NearDuplicateConfig) -> DataFrame:
+    """(l, r, score) of the pairs whose Jaccard similarity reaches the threshold. Only texts of some pair are shingled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,22 +117,20 @@ def scored(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
                 both = len(np.intersect1d(p, q, assume_unique=True)) if len(p) and len(q) else 0
                 scores.append(1.0 if not len(p) and not len(q) else both / (len(p) + len(q) - both))
             s = pa.array(scores, pa.float64())
-            keep = pc.greater_equal(s, threshold)
+            keep = pc.greater_equal(s, config.threshold)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), s.filter(keep)], names=["l", "r", "score"])
 
+    pairs = stash(pairs, "near-pairs")
+    some = texts.join(pairs.select(F.explode(F.array("l", "r")).alias("t")).distinct(), "t", "left_semi")
+    signed = stash(shingled(some, config), "shingles")
     held = pairs.join(signed.select(F.col("t").alias("l"), F.col("shingles").alias("p")), "l").join(signed.select(F.col("t").alias("r"), F.col("shingles").alias("q")), "r")
     return held.select("l", "r", "p", "q").mapInArrow(run, "l string, r string, score double")
 
 
 def text_pairs(texts: DataFrame, config: NearDuplicateConfig, pairwise: bool) -> DataFrame:
-    """(l, r, score) over distinct near texts."""
-    signed = shingled(texts, config, not pairwise).persist()
-    if pairwise:
-        few = signed.select("t")  # at most PAIRWISE_LIMIT rows, by count
-        pairs = few.select(F.col("t").alias("l")).join(F.broadcast(few.select(F.col("t").alias("r"))), F.col("l") < F.col("r"))
-    else:
-        pairs = candidates(signed)
-    return scored(pairs, signed, config.threshold)
+    """(l, r, score) over distinct near texts. Pairwise, all texts are one bucket, which is split like any other."""
+    signed = stash(texts.select("t", F.array(F.lit(0).cast("long")).alias("keys")) if pairwise else banded(texts, config), "bands")
+    return scored(candidates(signed), texts, config)
 
 
 def summary(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -147,15 +169,15 @@ def near_duplicates(df: DataFrame, columns: list[str], row: str, config: NearDup
         method = {"candidate_generation": "none" if cfg.enabled else "disabled", "minhash": {"enabled": False}}
         return method, {"pairs": 0, "records_flagged": 0, "record_rate": 0.0, "evidence": [], "evidence_truncated": False}
     pairwise = total <= PAIRWISE_LIMIT
-    rows = near_rows(df, columns, row).persist()
-    texts = distinct_texts(rows).persist()
-    pairs = text_pairs(texts, cfg, pairwise).persist()
+    rows = stash(near_rows(df, columns, row), "near-rows")
+    texts = stash(distinct_texts(rows), "near-texts")
+    pairs = stash(text_pairs(texts, cfg, pairwise), "near-scores")
     n, flagged = summary(texts, pairs).first()
     items = []
     for r in evidence(rows, texts, pairs, cfg.max_evidence).collect()[: cfg.max_evidence]:
         item = {"left": r["left"], "right": r["right"], "jaccard": round(r["score"], 4)}
         items.append(item | ({"field": r["field"]} if r["field"] is not None else {}))
     for x in (pairs, texts, rows):
-        x.unpersist()
+        discard(x)
     method = {"candidate_generation": "pairwise" if pairwise else "minhash_lsh", "minhash": {"enabled": False} if pairwise else {"enabled": True, "num_perm": cfg.num_perm}}
     return method, {"pairs": n, "records_flagged": flagged, "record_rate": round(flagged / total, 6), "evidence": items, "evidence_truncated": n > cfg.max_evidence}

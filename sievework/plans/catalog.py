@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,11 @@ from ..operators import gates, neardup
 from ..operators.duplicates import duplicate_counts, duplicate_groups, exact_duplicates, fingerprint
 from ..operators.extraction import field_text, first_text
 from ..operators.overlap import evidence, field_differences, match_rate, overlap_counts, overlap_rate
-from ..session import shared_dir
-from ..sources.datasets import ROW, read_dataset
+from ..session import shared_dir, stash
+from ..sources.datasets import ROW, dataset_of, read_dataset
 from ..sources.references import get_adapter
 from ..streaming.incremental import windowed_counts
+from . import reports
 
 CAP = 100
 _RECORD = ["text", "lang", "source"]
@@ -105,10 +107,10 @@ def compare_evidence_topn(spark, sf_dir):
 
 
 def _normalized_pairs(spark, sf_dir) -> DataFrame:
-    a = field_text(_documents(spark, sf_dir), "text", "doc_id")
-    b = field_text(_documents(spark, sf_dir, True), "text", "doc_id")
+    """Digests of both sides are written once each; evidence reads them several times."""
+    a, b = (stash(field_text(_documents(spark, sf_dir, p), "text", "doc_id").select("row", "exact", "normalized"), "sides") for p in (False, True))
     pairs = evidence(_picked(a, "normalized", F.col("exact").alias("a_exact")), _picked(b, "normalized"), CAP - 1)
-    return F.broadcast(pairs).join(b.select(F.col("row").alias("b_row"), F.col("exact").alias("b_exact")), "b_row")
+    return stash(F.broadcast(pairs).join(b.select(F.col("row").alias("b_row"), F.col("exact").alias("b_exact")), "b_row"), "pairs")  # CAP rows
 
 
 def compare_normalized_only(spark, sf_dir):
@@ -117,11 +119,103 @@ def compare_normalized_only(spark, sf_dir):
 
 def compare_field_diff(spark, sf_dir):
     a, b = (_documents(spark, sf_dir, p).select("doc_id", *_RECORD) for p in (False, True))
-    found = _normalized_pairs(spark, sf_dir).where("a_exact <> b_exact").select("a_row", "b_row")
-    pairs = spark.createDataFrame(found.collect(), found.schema)  # at most CAP rows, used three times
+    pairs = _normalized_pairs(spark, sf_dir).where("a_exact <> b_exact").select("a_row", "b_row")
     return field_differences(a, b, "doc_id", "doc_id", pairs).select("a_row", "b_row", F.explode("differing").alias("d")).select("a_row", "b_row", "d.field", "d.a", "d.b")
 
 
+def compare_field_union(spark, sf_dir):
+    """Field differences of records with different columns: those that one side lacks are missing."""
+    nations = _table(spark, sf_dir, "nation")
+    a = nations.select("n_nationkey", "n_name", "n_regionkey")
+    b = nations.select("n_nationkey", F.concat("n_name", F.lit(" ")).alias("n_name"), F.col("n_regionkey").cast("double").alias("size"))
+    pairs = nations.select(F.col("n_nationkey").cast("long").alias("a_row"), F.col("n_nationkey").cast("long").alias("b_row"))
+    found = field_differences(a, b, "n_nationkey", "n_nationkey", pairs)
+    return found.select("a_row", F.explode("differing").alias("d")).select("a_row", "d.field", "d.a", "d.b")
+
+
+def record_digest_typed(spark, sf_dir):
+    """Records of integers, doubles, timestamps and nulls."""
+    orders = _table(spark, sf_dir, "orders").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")))
+    return orders.select(F.col("o_orderkey").alias("row"), record_digest(orders, True).alias("digest"))
+
+
+def record_digest_nested(spark, sf_dir):
+    """Records with structs, lists and maps whose strings are stripped and whose keys come in order."""
+    nested = _table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.struct(F.concat(F.lit(" "), "c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.lit(None).cast("string").alias("none")).alias("who"),
+        F.array("c_mktsegment", F.lit("x "), F.lit(None)).alias("tags"),
+        F.create_map(F.lit("z "), F.col("c_nationkey"), F.lit("a"), F.lit(1)).alias("codes"),
+        (F.col("c_nationkey") % 2 == 0).alias("even"),
+    )
+    return nested.select(F.col("c_custkey").alias("row"), record_digest(nested, True).alias("digest"))
+
+
+def near_text_joined(spark, sf_dir):
+    """Near texts of records without a text column: all strings joined in the order of their names, and no field."""
+    customers = _table(spark, sf_dir, "customer")
+    rows = neardup.near_rows(customers, customers.columns, "c_custkey")
+    return rows.select("row", F.sha2("near", 256).alias("near_sha256"), F.coalesce("field", F.lit("-")).alias("field"))
+
+
+def frame_rows(spark, sf_dir):
+    """Row numbers of a table that is no file, by the order of its columns."""
+    data = dataset_of(_table(spark, sf_dir, "customer"), ["c_acctbal", "c_custkey"])
+    return data.frame.select(F.col(ROW).alias("row"), "c_custkey")
+
+
+def _flat(spark, value, path: str = "") -> list[tuple[str, float | None, str | None]]:
+    """Leaves of a report as (path, number, text)."""
+    if isinstance(value, dict):
+        return [x for k, v in value.items() for x in _flat(spark, v, f"{path}.{k}" if path else k)]
+    if isinstance(value, list):
+        return [x for k, v in enumerate(value) for x in _flat(spark, v, f"{path}.{k}")]
+    return [(path, float(value), None)] if isinstance(value, (bool, int, float)) else [(path, None, str(value))]
+
+
+def _leaves(spark, report: dict, *parts: str) -> DataFrame:
+    found = [x for p in parts for x in _flat(spark, reduce(lambda r, k: r[k], p.split("."), report), p)]
+    return spark.createDataFrame(found, "path string, number double, text string")
+
+
+def report_scan(spark, sf_dir):
+    """The scan of a whole file, with its gate: every number of the result."""
+    report = reports.scan_dataset(spark, f"{sf_dir}/documents.parquet", allow_directory=True, near=neardup.NearDuplicateConfig(max_evidence=CAP))
+    policy = {"max_duplicate_rate": 0.0, "max_near_duplicate_rate": 0.01}
+    report = reports.with_gate(report, gates.scan_gate(report, **policy), **policy)
+    del report["result"]["near_duplicates"]["evidence"][3:], report["result"]["fingerprint"]
+    return _leaves(spark, report, "input.rows", "result", "gate", "configuration.max_near_duplicate_rate")
+
+
+def report_compare(spark, sf_dir):
+    """Whole records, padded on one side; the rows are numbered by id."""
+    a, b = (dataset_of(_documents(spark, sf_dir, p).select("doc_id", *_RECORD), ["doc_id"]) for p in (False, True))
+    report = reports.compare(a, b, CAP)
+    report = reports.with_gate(report, gates.compare_gate(report, True), fail_on_overlap=True)
+    for k in ("exact", "normalized"):
+        del report["result"]["matches"][k][8:]
+    return _leaves(spark, report, "result", "gate", "input.dataset_a.rows")
+
+
+def report_compare_text(spark, sf_dir):
+    """Texts of one field; evidence says how those that are not exact differ."""
+    a, b = (dataset_of(_documents(spark, sf_dir, p).select("doc_id", *_RECORD), ["doc_id"]) for p in (False, True))
+    report = reports.compare(a, b, CAP, "text")
+    for k in ("exact", "normalized"):
+        del report["result"]["matches"][k][8:]
+    return _leaves(spark, report, "result", "method.unit", "method.field")
+
+
+def report_benchmark(spark, sf_dir):
+    """A dataset with a benchmark's items among its records, against the benchmark's file as a user's reference."""
+    data, _ = _with_items(spark, sf_dir)
+    report = reports.benchmark_check(dataset_of(data, ["row"]), "gsm8k", f"{sf_dir}/benchmark.parquet", CAP)
+    report = reports.with_gate(report, gates.benchmark_gate(report, max_overlap_rate=0.5), max_overlap_rate=0.5)
+    for k in ("exact", "normalized"):
+        del report["result"]["matches"][k][8:]
+    return _leaves(spark, report, "result", "gate", "input.reference_source", "input.benchmark_records")
+
+
 def display_value(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", display(F.col("text")).alias("shown"))
 
@@ -185,9 +279,9 @@ def minhash_signature(spark, sf_dir):
 
 def _near(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = _documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "doc_id")
-    rows = neardup.near_rows(docs, _RECORD, "doc_id").persist()
-    texts = neardup.distinct_texts(rows).persist()
-    return rows, texts, neardup.text_pairs(texts, neardup.NearDuplicateConfig(), False)
+    rows = stash(neardup.near_rows(docs, _RECORD, "doc_id"), "near-rows")
+    texts = stash(neardup.distinct_texts(rows), "near-texts")
+    return rows, texts, stash(neardup.text_pairs(texts, neardup.NearDuplicateConfig(), False), "near-scores")
 
 
 def near_duplicates_lsh(spark, sf_dir):
@@ -212,22 +306,24 @@ def lsh_candidates(spark, sf_dir):
     """Pairs of distinct near texts that share a band, by first row."""
     docs = _documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "doc_id")
     rows = neardup.near_rows(docs, _RECORD, "doc_id")
-    pairs = neardup.candidates(neardup.shingled(neardup.distinct_texts(rows), neardup.NearDuplicateConfig(), True).persist())
+    pairs = neardup.candidates(stash(neardup.banded(neardup.distinct_texts(rows), neardup.NearDuplicateConfig()), "bands"))
     first = rows.groupBy("t").agg(F.min("row").alias("row"))
     both = pairs.join(first.select(F.col("t").alias("l"), F.col("row").alias("x")), "l").join(first.select(F.col("t").alias("r"), F.col("row").alias("y")), "r")
     return both.select(F.least("x", "y").alias("left_row"), F.greatest("x", "y").alias("right_row"))
 
 
 def near_duplicates_pairwise(spark, sf_dir):
-    """All pairs of benchmark items with their prompts' beginnings alike: a low threshold, since items are few and unlike."""
-    items = _table(spark, sf_dir, "benchmark").select("item_id", "text")
-    rows = neardup.near_rows(items, ["text"], "item_id").persist()
-    pairs = neardup.text_pairs(neardup.distinct_texts(rows), neardup.NearDuplicateConfig(threshold=0.2), True)
-    return neardup.evidence(rows, neardup.distinct_texts(rows), pairs, 100_000).select(F.col("left").alias("left_row"), F.col("right").alias("right_row"))
+    """All pairs of nations by their names, the only string of their records."""
+    nations = _table(spark, sf_dir, "nation")
+    rows = stash(neardup.near_rows(nations, nations.columns, "n_nationkey"), "near-rows")
+    pairs = neardup.text_pairs(stash(neardup.distinct_texts(rows), "near-texts"), neardup.NearDuplicateConfig(threshold=0.5), True)
+    l, r = (rows.select(F.col("t").alias(k), F.col("row").alias(n), F.col("field").alias(f"{k}_field")) for k, n in (("l", "x"), ("r", "y")))
+    both = pairs.join(l, "l").join(r, "r")
+    return both.select(F.least("x", "y").alias("left_row"), F.greatest("x", "y").alias("right_row"), F.round("score", 4).alias("jaccard"), F.when(F.col("l_field") == F.col("r_field"), F.col("l_field")).alias("field"))
 
 
 def _rules(spark, gate: dict) -> DataFrame:
-    return spark.createDataFrame([(r["metric"], r["passed"]) for r in gate["rules"]], "metric string, passed boolean")
+    return spark.createDataFrame([(r["metric"], r["passed"], round(r["actual"], 6)) for r in gate["rules"]], "metric string, passed boolean, actual double")
 
 
 def gate_scan(spark, sf_dir):
@@ -259,8 +355,8 @@ def jsonl_roundtrip(spark, sf_dir):
 
 
 def parquet_row_index(spark, sf_dir):
-    data = read_dataset(spark, f"{sf_dir}/benchmark.parquet", allow_directory=True)
-    return data.frame.select(F.col(ROW).alias("row"), "item_id")
+    data = read_dataset(spark, f"{sf_dir}/documents.parquet", allow_directory=True)
+    return data.frame.select(F.col(ROW).alias("row"), "doc_id")
 
 
 def stream_event_counts(spark, sf_dir):
@@ -281,7 +377,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         compare_record_overlap, compare_text_overlap, compare_evidence_topn, compare_normalized_only, compare_field_diff, display_value,
         benchmark_extract, benchmark_match, benchmark_evidence, near_text_digest, char_shingles_count, minhash_signature, lsh_candidates,
         near_duplicates_lsh, near_duplicate_summary, near_duplicate_evidence, near_duplicates_pairwise, gate_scan, gate_compare, gate_benchmark,
-        jsonl_roundtrip, parquet_row_index, stream_event_counts,
+        jsonl_roundtrip, parquet_row_index, stream_event_counts, compare_field_union, record_digest_typed, record_digest_nested, near_text_joined,
+        frame_rows, report_scan, report_compare, report_compare_text, report_benchmark,
     )
 }
 
@@ -361,6 +458,130 @@ def _jaccard_sql(table: str, key: str, threshold: float, first: bool) -> str:
     )
 
 
+def _scores_sql(table: str, key: str) -> str:
+    """(left_row, right_row, score) of all pairs of rows with a shingle in common."""
+    return (
+        f"WITH s AS ({_shingles_sql(table, key)}), n AS (SELECT {key}, count(*) AS n FROM s GROUP BY {key}), "
+        f"c AS (SELECT a.{key} AS l, b.{key} AS r, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.{key} < b.{key} GROUP BY ALL) "
+        f"SELECT l AS left_row, r AS right_row, common::DOUBLE / (x.n + y.n - common) AS score FROM c JOIN n x ON x.{key} = l JOIN n y ON y.{key} = r"
+    )
+
+
+def _typed_sql() -> str:
+    fields = {
+        "o_custkey": "o_custkey", "o_orderdate": "'\"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '\"'", "o_orderkey": "o_orderkey", "o_orderpriority": _json(_strip("o_orderpriority")),
+        "o_orderstatus": _json(_strip("o_orderstatus")), "o_totalprice": "CASE WHEN o_orderkey % 11 <> 0 THEN to_json(o_totalprice)::VARCHAR END",
+    }
+    spelled = " || ',' || ".join(f"'\"{k}\":' || coalesce(({v})::VARCHAR, 'null')" for k, v in fields.items())
+    return f"SELECT o_orderkey AS row, sha256('{{' || {spelled} || '}}') AS digest FROM orders"
+
+
+def _nested_sql() -> str:
+    parts = [
+        "'{\"c_custkey\":' || c_custkey", "',\"codes\":{\"a\":1,\"z \":' || c_nationkey", "'},\"even\":' || (c_nationkey % 2 = 0)::VARCHAR", "',\"tags\":[' || " + _json(_strip("c_mktsegment")),
+        "',\"x\",null],\"who\":{\"balance\":' || to_json(c_acctbal)::VARCHAR", "',\"name\":' || " + _json(_strip("c_name")), "',\"none\":null}}'",
+    ]
+    return f"SELECT c_custkey AS row, sha256({' || '.join(parts)}) AS digest FROM customer"
+
+
+def _leaves_sql(*selects: str) -> str:
+    """Each select gives path, number, text."""
+    return " UNION ALL ".join(f"SELECT path, number::DOUBLE AS number, text::VARCHAR AS text FROM ({s})" for s in selects)
+
+
+def _numbers_sql(values: dict[str, str], table: str) -> str:
+    """Named numbers of a table of one row."""
+    return f"SELECT unnest([{', '.join(repr(k) for k in values)}]) AS path, unnest([{', '.join(f'({v})::DOUBLE' for v in values.values())}]) AS number, NULL AS text FROM ({table})"
+
+
+def _report_scan_sql() -> str:
+    # every record has an id of its own, so rows with equal texts are pairs like others
+    pairs = f"({_scores_sql('documents', 'doc_id')})"
+    found = f"(SELECT * FROM {pairs} WHERE score >= 0.85)"
+    totals = f"WITH p AS {found} SELECT (SELECT count(*) FROM documents) AS rows, (SELECT count(*) FROM p) AS pairs, (SELECT count(*) FROM (SELECT left_row FROM p UNION SELECT right_row FROM p)) AS flagged"
+    exact = {"total_records": "rows", "unique_records": "rows", "duplicate_records": "0", "duplicate_rate": "0"}
+    near = {"pairs": "pairs", "records_flagged": "flagged", "record_rate": "round(flagged / rows, 6)", "evidence_truncated": f"pairs > {CAP}"}
+    numbers = {"input.rows": "rows", "configuration.max_near_duplicate_rate": "0.01"} | {f"result.exact_duplicates.{k}": v for k, v in exact.items()} | {f"result.near_duplicates.{k}": v for k, v in near.items()}
+    numbers |= {"gate.passed": "flagged / rows <= 0.01", "gate.rules.0.threshold": "0", "gate.rules.0.actual": "0", "gate.rules.0.passed": "1", "gate.rules.1.threshold": "0.01", "gate.rules.1.actual": "round(flagged / rows, 6)", "gate.rules.1.passed": "round(flagged / rows, 6) <= 0.01"}
+    shown = f"(SELECT row_number() OVER (ORDER BY left_row, right_row) - 1 AS i, * FROM {found} ORDER BY i LIMIT 3)"
+    item = "'result.near_duplicates.evidence.' || i || "
+    return _leaves_sql(
+        _numbers_sql(numbers, totals),
+        f"SELECT {item} unnest(['.left', '.right', '.jaccard']) AS path, unnest([left_row::DOUBLE, right_row::DOUBLE, round(score, 4)]) AS number, NULL AS text FROM {shown}",
+        f"SELECT {item} '.field' AS path, NULL AS number, 'text' AS text FROM {shown}",
+        "SELECT unnest(['gate.rules.0.metric', 'gate.rules.1.metric']) AS path, NULL AS number, unnest(['duplicate_rate', 'near_duplicate_rate']) AS text",
+    )
+
+
+def _compare_numbers(digest: str, side: str, kind: str) -> str:
+    """Overlap of documents (a) and padded documents (b)."""
+    both = f"SELECT {digest} AS digest, true AS a, false AS b FROM documents UNION ALL SELECT {digest}, false, true FROM {_padded()}"
+    counts = f"SELECT count(*) FILTER (a AND b) AS s, count(*) FILTER (a AND NOT b) AS x, count(*) FILTER (b AND NOT a) AS y FROM (SELECT digest, bool_or(a) AS a, bool_or(b) AS b FROM ({both}) GROUP BY digest)"
+    p = f"result.{kind}_overlap"
+    return _numbers_sql({f"{p}.shared_records": "s", f"{p}.only_in_a": "x", f"{p}.only_in_b": "y", f"{p}.rate": "s / (s + least(x, y))"}, counts)
+
+
+def _items_sql(kind: str, key: str, more: dict[str, str], texts: dict[str, str], cap: int = 8, by: str = "dataset_a_record,dataset_b_record") -> list[str]:
+    """The first items of evidence of documents against padded documents whose ``key`` is equal."""
+    rows = f"(SELECT row_number() OVER (ORDER BY a.doc_id, b.doc_id) - 1 AS i, a.doc_id AS a_row, b.doc_id AS b_row, a.text AS a_text, b.text AS b_text FROM (SELECT *, {key} AS k FROM documents) a JOIN (SELECT *, {key} AS k FROM {_padded()}) b USING (k) ORDER BY i LIMIT {cap})"
+    path = f"'result.matches.{kind}.' || i || "
+    left, right = by.split(",")
+    values = {left: "a_row", right: "b_row"} | more
+    out = [f"SELECT {path} '.{k}' AS path, ({v})::DOUBLE AS number, NULL AS text FROM {rows}" for k, v in values.items()]
+    where = " WHERE a_text <> b_text" if kind == "normalized" else ""
+    return out + [f"SELECT {path} '.{k}' AS path, NULL AS number, {v} AS text FROM {rows}{'' if k == 'field' else where}" for k, v in texts.items()]
+
+
+def _shown_sql(x: str) -> str:
+    return f"CASE WHEN length({x}) > 120 THEN substring({x}, 1, 119) || '…' ELSE {x} END"
+
+
+def _report_compare_sql() -> str:
+    exact, normal = "doc_id || ' ' || text || lang || source", "doc_id || ' ' || " + _strip("text") + " || lang || source"
+    rows = "SELECT count(*) AS n, count(*) FILTER (doc_id % 7 <> 0) AS e FROM documents"
+    gate = {"input.dataset_a.rows": "n", "gate.passed": "0", "result.matches.exact_truncated": f"e > {CAP}", "result.matches.normalized_truncated": f"n > {CAP}"}
+    gate |= {"gate.rules.0.threshold": "0", "gate.rules.0.actual": "e / n", "gate.rules.0.passed": "e = 0", "gate.rules.1.threshold": "0", "gate.rules.1.actual": "1", "gate.rules.1.passed": "0"}
+    differing = {"differing_fields.0.field": "'text'", "differing_fields.0.a": _shown_sql("a_text"), "differing_fields.0.b": _shown_sql("b_text")}
+    return _leaves_sql(
+        _compare_numbers(exact, "", "exact"), _compare_numbers(normal, "", "normalized"), _numbers_sql(gate, rows),
+        "SELECT unnest(['gate.rules.0.metric', 'gate.rules.1.metric']) AS path, NULL AS number, unnest(['exact_overlap_rate', 'normalized_overlap_rate']) AS text",
+        *_items_sql("exact", exact, {}, {}), *_items_sql("normalized", normal, {"also_exact": "a_text = b_text"}, differing),
+    )
+
+
+def _report_compare_text_sql() -> str:
+    exact, normal = "text", _strip("text")
+    pairs = f"SELECT (SELECT count(*) FROM documents a JOIN {_padded()} b ON a.text = b.text) AS e, (SELECT count(*) FROM documents a JOIN {_padded()} b ON {_strip('a.text')} = {_strip('b.text')}) AS n"
+    return _leaves_sql(
+        _compare_numbers(exact, "", "exact"), _compare_numbers(normal, "", "normalized"),
+        _numbers_sql({"result.matches.exact_truncated": f"e > {CAP}", "result.matches.normalized_truncated": f"n > {CAP}"}, pairs),
+        "SELECT unnest(['method.unit', 'method.field']) AS path, NULL AS number, unnest(['field_text', 'text']) AS text",
+        *_items_sql("exact", exact, {}, {"field": "'text'"}),
+        *_items_sql("normalized", normal, {"also_exact": "a_text = b_text"}, {"field": "'text'", "difference.a": _shown_sql("a_text"), "difference.b": _shown_sql("b_text")}),
+    )
+
+
+def _report_benchmark_sql() -> str:
+    rows = f"SELECT exact_matches AS e, normalized_matches AS m, (SELECT count(*) FROM {_DATA}) AS n, (SELECT count(*) FROM benchmark) AS items FROM ({_MATCH})"
+    numbers = {"result.exact_matches": "e", "result.normalized_matches": "m", "result.near_matches": "0", "result.exact_rate": "e / n", "result.normalized_rate": "m / n", "input.benchmark_records": "items"}
+    numbers |= {"gate.passed": "m / n <= 0.5", "gate.rules.0.threshold": "0.5", "gate.rules.0.actual": "e / n", "gate.rules.0.passed": "e / n <= 0.5", "gate.rules.1.threshold": "0.5", "gate.rules.1.actual": "m / n", "gate.rules.1.passed": "m / n <= 0.5"}
+    # rows are numbered from 0 by the order of their keys
+    data = f"(SELECT *, row_number() OVER (ORDER BY row) - 1 AS num FROM {_EXTRACTED})"
+    items = "(SELECT *, row_number() OVER () - 1 AS place FROM benchmark)"
+    parts = []
+    for kind, match in (("exact", "d.picked = b.text"), ("normalized", f"{_strip('d.picked')} = {_strip('b.text')}")):
+        pairs = f"SELECT d.num, b.place, d.field, row_number() OVER (ORDER BY d.num, b.place) - 1 AS i FROM {data} d JOIN {items} b ON {match}"
+        path = f"'result.matches.{kind}.' || i || "
+        shown = f"(SELECT * FROM ({pairs}) WHERE i < 8)"
+        parts += [
+            _numbers_sql({f"result.matches.{kind}_truncated": f"n > {CAP}"}, f"SELECT count(*) AS n FROM ({pairs})"),
+            f"SELECT {path} unnest(['.dataset_record', '.reference_record']) AS path, unnest([num::DOUBLE, place::DOUBLE]) AS number, NULL AS text FROM {shown}",
+            f"SELECT {path} '.field' AS path, NULL AS number, field AS text FROM {shown}",
+        ]
+    said = "SELECT unnest(['result.status', 'gate.rules.0.metric', 'gate.rules.1.metric', 'input.reference_source']) AS path, NULL AS number, unnest([CASE WHEN m > 0 THEN 'OVERLAP_DETECTED' ELSE 'NO_OVERLAP_DETECTED' END, 'exact_match_rate', 'normalized_match_rate', 'user_reference']) AS text FROM (" + rows + ")"
+    return _leaves_sql(_numbers_sql(numbers, rows), said, *parts)
+
+
 def _all_near_pairs() -> str:
     """Pairs of rows, records that are equal left out."""
     return (
@@ -412,17 +633,28 @@ ORACLE_SQL: dict[str, str] = {
     "near_duplicate_summary": f"WITH p AS ({_all_near_pairs()}) SELECT (SELECT count(*) FROM p) AS near_pairs, (SELECT count(*) FROM (SELECT left_row FROM p UNION SELECT right_row FROM p)) AS records_flagged",
     "near_duplicate_evidence": f"SELECT left_row, right_row, 'text' AS field FROM ({_all_near_pairs()}) ORDER BY left_row, right_row LIMIT {CAP}",
     "near_duplicates_pairwise": (
-        f"SELECT p.left_row, p.right_row FROM ({_jaccard_sql('benchmark', 'item_id', 0.2, False)}) p JOIN benchmark a ON a.item_id = p.left_row JOIN benchmark b ON b.item_id = p.right_row WHERE {_strip('a.text')} <> {_strip('b.text')}"
+        f"SELECT left_row, right_row, round(score, 4) AS jaccard, 'n_name' AS field FROM ({_scores_sql('(SELECT n_nationkey, n_name AS text FROM nation)', 'n_nationkey')}) WHERE score >= 0.5"
     ),
     "gate_scan": (
-        f"WITH p AS ({_all_near_pairs()}) SELECT 'duplicate_rate' AS metric, duplicate_records / total_records <= 0.01 AS passed FROM ({_counts('SELECT ' + _record_sha('text', True) + ' AS digest FROM documents')}) "
-        "UNION ALL SELECT 'near_duplicate_rate', (SELECT count(*) FROM (SELECT left_row FROM p UNION SELECT right_row FROM p)) / (SELECT count(*) FROM documents) <= 0.1"
+        f"WITH p AS ({_all_near_pairs()}) SELECT 'duplicate_rate' AS metric, duplicate_records / total_records <= 0.01 AS passed, round(duplicate_records / total_records, 6) AS actual FROM ({_counts('SELECT ' + _record_sha('text', True) + ' AS digest FROM documents')}) "
+        "UNION ALL SELECT 'near_duplicate_rate', rate <= 0.1, round(rate, 6) FROM (SELECT (SELECT count(*) FROM (SELECT left_row FROM p UNION SELECT right_row FROM p)) / (SELECT count(*) FROM documents) AS rate)"
     ),
-    "gate_compare": f"SELECT kind || '_overlap_rate' AS metric, shared_records / least(shared_records + only_in_a, shared_records + only_in_b) <= 0.08 AS passed FROM ({_overlap_sql(_text_sha('text'), 'exact')} UNION ALL {_overlap_sql(_text_sha(_strip('text')), 'normalized')})",
+    "gate_compare": f"SELECT kind || '_overlap_rate' AS metric, shared_records / least(shared_records + only_in_a, shared_records + only_in_b) <= 0.08 AS passed, round(shared_records / least(shared_records + only_in_a, shared_records + only_in_b), 6) AS actual FROM ({_overlap_sql(_text_sha('text'), 'exact')} UNION ALL {_overlap_sql(_text_sha(_strip('text')), 'normalized')})",
     "gate_benchmark": (
-        f"WITH m AS ({_MATCH}), n AS (SELECT count(*) AS rows FROM {_DATA}) SELECT 'exact_match_rate' AS metric, exact_matches / rows <= 0.03 AS passed FROM m, n UNION ALL SELECT 'normalized_match_rate', normalized_matches / rows <= 0.03 FROM m, n"
+        f"WITH m AS ({_MATCH}), n AS (SELECT count(*) AS rows FROM {_DATA}) SELECT 'exact_match_rate' AS metric, exact_matches / rows <= 0.03 AS passed, round(exact_matches / rows, 6) AS actual FROM m, n UNION ALL SELECT 'normalized_match_rate', normalized_matches / rows <= 0.03, round(normalized_matches / rows, 6) FROM m, n"
     ),
     "jsonl_roundtrip": f"SELECT {_record_sha('text', True)} AS digest, doc_id FROM {_padded()}",
-    "parquet_row_index": "SELECT row_number() OVER () - 1 AS row, item_id FROM benchmark",
+    "parquet_row_index": "SELECT row_number() OVER () - 1 AS row, doc_id FROM documents",
+    "compare_field_union": (
+        "SELECT n_nationkey::BIGINT AS a_row, unnest(['n_name', 'n_regionkey', 'size']) AS field, unnest([n_name, n_regionkey::VARCHAR, '<missing>']) AS a, unnest([n_name || ' ', '<missing>', (n_regionkey::DOUBLE)::VARCHAR]) AS b FROM nation"
+    ),
+    "record_digest_typed": _typed_sql(),
+    "record_digest_nested": _nested_sql(),
+    "near_text_joined": f"SELECT c_custkey AS row, sha256({_near_sql("c_mktsegment || ' ' || c_name")}) AS near_sha256, '-' AS field FROM customer",
+    "frame_rows": "SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS row, c_custkey FROM customer",
+    "report_scan": _report_scan_sql(),
+    "report_compare": _report_compare_sql(),
+    "report_compare_text": _report_compare_text_sql(),
+    "report_benchmark": _report_benchmark_sql(),
     "stream_event_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS records FROM events GROUP BY 1",
 }

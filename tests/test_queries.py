@@ -22,7 +22,7 @@ def duck():
 
 def normal(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    return sorted(tuple(map(str, r)) for r in df.itertuples(index=False))
+    return sorted(tuple("null" if pd.isna(x) else f"{x:.9g}" if isinstance(x, (int, float)) else str(x) for x in r) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))

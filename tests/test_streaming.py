@@ -17,6 +17,14 @@ def test_incremental_index(spark, tmp_path):
     got = {(r["n"], r["seen"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, False), (2, False), (3, True), (4, False)}
     assert spark.read.parquet(str(tmp_path / "index")).count() == 3
+    arrive(2, [("d", 5), ("d ", 6), ("d", 7), ("a", 8), ("e", 9)])
+    got = sorted((r["n"], r["seen"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got[4:] in [[(5, not f == 5), (6, not f == 6), (7, not f == 7), (8, True), (9, False)] for f in (5, 6, 7)]
+    # another run reads the index from its first batch on
+    stream = spark.readStream.schema("text string, n int").parquet(str(src))
+    audit_into(stream, str(tmp_path / "index"), str(tmp_path / "again"), str(tmp_path / "cp2"), ["text"]).awaitTermination()
+    assert {r["seen"] for r in spark.read.parquet(str(tmp_path / "again")).collect()} == {True}
+    assert spark.read.parquet(str(tmp_path / "index")).count() == 5
 
 
 def test_drop_repeats(spark, tmp_path):
