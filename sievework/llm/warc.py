@@ -23,10 +23,10 @@ from .common import shared_dir, skewed_lookup, stash
 #: Payloads of fewer bytes are always written in full.
 REVISIT_FROM = 100
 FILE_BYTES = 256 << 20
-#: Ranges closer than GAP are read at once, up to READ bytes; an index chunk of CHUNK bytes of a file is one task's share at least.
+#: Ranges closer than GAP are read at once, up to READ bytes; records of one stretch of CHUNK bytes of a file go to one task, and a task has about CHUNK bytes to read.
 GAP = 64 << 10
 READ = 8 << 20
-CHUNK = 32 << 20
+CHUNK = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 _INDEX = "page_id long, url string, file string, offset long, length long, digest string"
 _CONTROL = re.compile(r"[^\x21-\x7e]")
@@ -181,11 +181,25 @@ def read(index: DataFrame, location: str) -> DataFrame:
         if opened is not None:
             opened.close()
 
+    # as many tasks as the selected records' bytes ask for: the index's own size says nothing about them
+    tasks = index.agg(F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum("length"), F.lit(0)) / CHUNK))).first()[0]
     chunk = F.floor(F.col("offset") / CHUNK)
-    sorted_ranges = index.select("file", "offset", "length").repartition(F.col("file"), chunk).sortWithinPartitions("file", "offset")
+    sorted_ranges = index.select("file", "offset", "length").repartition(int(tasks), F.col("file"), chunk).sortWithinPartitions("file", "offset")
     return sorted_ranges.mapInArrow(run, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 
 
+#: The same in DuckDB, from the pages alone: what a reader of the archives must find.
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+  CASE WHEN f.first IS NULL OR page_id IS NOT DISTINCT FROM f.first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f.first IS NULL OR page_id IS NOT DISTINCT FROM f.first THEN NULL ELSE f.first END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
+"""
+
+
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     index = write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return read(index, shared_dir(spark)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
