@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame
 
 from .common import id_text
 
-#: Words of one recursive query, words remembered within a task, and bytes of text or tokens handled at once.
+#: Words and bytes of one recursive query, bytes of words and ids remembered within a process, and text and tokens handled at once.
 WORDS_AT_ONCE = 60_000
-REMEMBERED = 450_000
+BYTES_AT_ONCE = 2 << 20
+REMEMBERED = 120 << 20
 TEXT_AT_ONCE = 4_000_000
 TOKENS_AT_ONCE = 1_000_000
 #: Words of more bytes are contracted over a heap of pairs instead: the query needs a round for each of their merges.
@@ -59,12 +60,13 @@ class Codec:
         self.bytes = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.words: dict[str, tuple[int, ...]] = {}
+        self.held = 0
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         find = self.ranks.get
         pairs = [(a * 65536 + b, c) for t, c in self.ranks.items() for k in range(1, len(t)) if (a := find(t[:k])) is not None and (b := find(t[k:])) is not None]
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "c": pa.array([c for _, c in pairs], pa.int64())})
         vocabulary = pa.table({"tok": pa.array(list(self.bytes), pa.int64()), "bytes": [t.decode("latin-1") for t in self.bytes.values()]})
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "preserve_insertion_order": False})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "preserve_insertion_order": False, "temp_directory": ""})  # what a query holds is bounded, so nothing is spilled
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             with self.con.cursor() as cur:
                 cur.register("given", table)
@@ -106,23 +108,37 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Ids of words not known yet. Words that are tokens need no merging."""
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.words.clear()
-            new = words
+            self.held = 0
         todo: list[str] = []
         raw: list[bytes] = []
-        for w in new:
+        size = 0
+
+        def ask() -> None:
+            for w, ids in zip(todo, self._by_query(raw)):
+                self.words[w] = ids
+                self.held += len(w) + 36 * len(ids)
+            todo.clear()
+            raw.clear()
+
+        for w in words.difference(self.words):
             b = w.encode()
+            self.held += 200 + len(b)
             if (i := self.ranks.get(b)) is not None:
                 self.words[w] = (i,)
             elif len(b) > LONG_WORD:
-                self.words[w] = self._by_heap(b)
+                self.words[w] = ids = self._by_heap(b)
+                self.held += 36 * len(ids)
             else:
                 todo.append(w)
                 raw.append(b)
-        for k in range(0, len(todo), WORDS_AT_ONCE):
-            self.words.update(zip(todo[k : k + WORDS_AT_ONCE], self._by_query(raw[k : k + WORDS_AT_ONCE])))
+                size += len(b)
+                if size > BYTES_AT_ONCE or len(todo) >= WORDS_AT_ONCE:
+                    ask()
+                    size = 0
+        if todo:
+            ask()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.pattern.findall(t) for t in texts]
