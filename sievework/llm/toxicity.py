@@ -145,11 +145,12 @@ def _named(word: str) -> Iterator[str]:
 
 
 class Reader:
-    """Turns tokens into features, each token once as long as it is remembered."""
+    """Turns tokens into features, each token once as long as it is remembered, in a bounded number of bytes."""
 
-    def __init__(self, model: np.ndarray, lexicon: dict[str, float] | None = None, remembered: int = 400_000) -> None:
+    def __init__(self, model: np.ndarray, lexicon: dict[str, float] | None = None, remembered: int = 80 << 20) -> None:
         self.model, self.lexicon, self.remembered = model, lexicon, remembered
         self.known: dict[str, tuple[str, ...]] = {}
+        self.held = 0
 
     def _token(self, token: str) -> tuple[str, ...]:
         words = _WORD.findall(token)
@@ -172,14 +173,16 @@ class Reader:
         text = text.lower()
         tokens = set(text.split())
         known = self.known
-        if len(known) > self.remembered:
+        if self.held > self.remembered:
             known.clear()
+            self.held = 0
         found: set[str] = set()
         for t in tokens:
             f = known.get(t)
             if f is None:
                 f = self._token(t)
                 known[t] = f
+                self.held += 200 + len(t) + sum(60 + len(x) for x in f)
             if f:
                 found.update(f)
         for m in _SPACED.finditer(text):
@@ -266,10 +269,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = [judge.measures(set(f)) for f in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in m], pa.float64()), pa.array([y for _, y in m], pa.float64())], names=["label", "a", "b"])
+            m = [judge.measures(set(f)) for f in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in m], pa.float64()), pa.array([y for _, y in m], pa.float64())], names=["doc_id", "label", "a", "b"])
 
-    rows = read.select("label", "features").mapInArrow(measure, "label int, a double, b double").orderBy("label", "a", "b").toArrow()
+    # one row for each labelled id, of which there are at most ``sample``, however often documents repeat it
+    measured = read.select("doc_id", "label", "features").mapInArrow(measure, "doc_id long, label int, a double, b double")
+    rows = measured.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("a").alias("a"), F.max("b").alias("b")).orderBy("label", "a", "b").toArrow()
     x = np.stack([rows.column(c).to_numpy() for c in ("a", "b")], axis=1)
     return Classifier(model, lexicon, tuple(_logistic(x, rows.column("label").to_numpy()).tolist()))
 
