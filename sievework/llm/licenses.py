@@ -1,16 +1,18 @@
 """Licence notices and texts by Dice similarity of word bigrams.
 
 Texts and templates are normalised to lower-case words. A template of m bigrams can reach a Dice coefficient t only with
-a passage of between m t/(2-t) and m (2-t)/t bigrams, so templates outside these bounds are pruned, and so are those of
-whose bigrams the text holds too few. What is left is scored: the whole text, every line, and every passage as long as the
-template, which finds notices inside longer texts.
+a passage of between m t/(2-t) and m (2-t)/t bigrams that shares t (m + n)/2 of its n with the template, so templates are
+pruned where no stretch of the longest size holds enough. What is left is scored, passages of every length within the
+bounds, which finds notices, headers and whole licences inside longer texts.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import re
-from collections import Counter
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +102,11 @@ SPDX = {
 for _name, _ids in SPDX.items():
     TEMPLATES[_name] += [f"SPDX-License-Identifier: {i}" for i in _ids]
 
+#: Licences in full, as they are published: the file of each in ``licence_texts``.
+TEXTS = {"Apache-2.0": ["Apache-2.0"], "GPL-2.0": ["GPL-2"], "GPL-3.0": ["GPL-3"], "LGPL": ["LGPL-2.1", "LGPL-3"], "MPL-2.0": ["MPL-2.0"], "CC0": ["CC0-1.0"]}
+for _name, _files in TEXTS.items():
+    TEMPLATES[_name] += [pkgutil.get_data(__package__, f"licence_texts/{f}.txt").decode() for f in _files]
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -115,17 +122,14 @@ class Templates:
         listed = [(name, words(t)) for name, ts in templates.items() for t in ts]
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in listed for w in ws), 1)}
         self.n = len(self.ids) + 1
-        self.names, self.counts, self.sizes = [], [], []
-        self.used = np.zeros(self.n * self.n, dtype=bool)
-        self.by_gram: dict[int, list[int]] = {}
-        for name, ws in listed:
-            grams = Counter(self.grams(self.codes(ws)).tolist())
-            for g in grams:
-                self.used[g] = True
-                self.by_gram.setdefault(g, []).append(len(self.names))
-            self.names.append(name)
-            self.counts.append(grams)
-            self.sizes.append(sum(grams.values()))
+        self.names = [name for name, _ in listed]
+        grams = [np.unique(self.grams(self.codes(ws)), return_counts=True) for _, ws in listed]
+        self.sizes = np.array([int(n.sum()) for _, n in grams])
+        self.known = np.unique(np.concatenate([g for g, _ in grams]))
+        self.counts = np.zeros((len(self.known), len(listed)), dtype=np.int32)
+        for k, (g, n) in enumerate(grams):
+            self.counts[np.searchsorted(self.known, g), k] = n
+        self.needs = np.array([threshold * (self.bounds(m)[0] + m) / 2 for m in self.sizes])  # bigrams that a passage shares at least
 
     def codes(self, ws: list[str]) -> np.ndarray:
         get = self.ids.get
@@ -139,72 +143,85 @@ class Templates:
         t = self.threshold
         return int(np.ceil(size * t / (2 - t) - 1e-9)), int(size * (2 - t) / t + 1e-9)
 
-    def _best_passage(self, k: int, at: np.ndarray, grams: np.ndarray) -> tuple[float, int]:
-        """The best Dice coefficient of template k over passages of its own size; the first such passage's start."""
-        size, have = self.sizes[k], self.counts[k]
-        left, shared, counts, best = 0, 0, Counter(), (0.0, 0)
-        for pos, g in zip(at.tolist(), grams.tolist()):
-            while at[left] <= pos - size:
-                old = int(grams[left])
-                shared -= counts[old] <= have[old]
-                counts[old] -= 1
-                left += 1
-            counts[g] += 1
-            shared += counts[g] <= have[g]
-            if shared / size > best[0]:
-                best = (shared / size, int(at[left]))
-        return best
+    def _passages(self, k: int, at: np.ndarray, grams: np.ndarray) -> Iterator[tuple[float, int, int, int]]:
+        """(similarity, shared, first bigram, bigrams): for each first bigram the passage most like template k, if it reaches the threshold.
+
+        ``at`` has the places, in order, of bigrams that the template has, ``grams`` their places in ``known``.
+        Passages that begin or end with other bigrams are less like it than what they hold.
+        """
+        size, high, have = int(self.sizes[k]), self.bounds(int(self.sizes[k]))[1], self.counts[grams, k]
+        ends = np.searchsorted(at, at + high)
+        starts = np.flatnonzero(ends - np.arange(len(at)) >= self.needs[k] - 1e-9)
+        if not len(starts):
+            return
+        # the how-manieth of its kind each bigram is, from the text's beginning
+        order = np.argsort(grams, kind="stable")
+        firsts = np.concatenate(([True], grams[order][1:] != grams[order][:-1]))
+        nth = np.empty(len(at), dtype=np.int64)
+        nth[order] = np.arange(len(at)) - np.maximum.accumulate(np.where(firsts, np.arange(len(at)), 0))
+        for s in starts.tolist():
+            z = ends[s]
+            inside = grams[s:z]
+            # from this start on: less the bigrams of its kind before it
+            kinds, inverse, first = _kinds(inside)
+            ok = nth[s:z] - nth[s:z][first][inverse] < have[s:z]
+            shared = np.cumsum(ok)
+            scores = 2 * shared / (size + at[s:z] - at[s] + 1)
+            j = int(scores.argmax())
+            if scores[j] >= self.threshold:
+                yield float(scores[j]), int(shared[j]), int(at[s]), int(at[s + j] - at[s] + 1)
 
     def matches(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(licence, similarity, first word, words) for each licence found; its best template's best passage."""
+        """(licence, similarity, first word, words) of the passages that are like a template, in order.
+
+        Of passages that overlap, the one counts that shares most, weighed by its similarity: so a whole licence goes
+        before the notice that it quotes, and a notice before others of much the same words. All others are kept.
+        """
         ws = words(text)
         if len(ws) < 2:
             return []
         grams = self.grams(self.codes(ws))
-        hits = np.flatnonzero(self.used[grams])
+        place = np.searchsorted(self.known, grams).clip(max=len(self.known) - 1)
+        hits = np.flatnonzero(self.known[place] == grams)
         if not len(hits):
             return []
-        shared: dict[int, list[int]] = {}
-        for i in hits.tolist():
-            for k in self.by_gram[int(grams[i])]:
-                shared.setdefault(k, []).append(i)
-        lines = None
-        found: dict[str, tuple[float, int, int]] = {}
-        for k, positions in shared.items():
-            size, (low, high) = self.sizes[k], self.bounds(self.sizes[k])
-            if len(positions) < self.threshold * (low + size) / 2:
-                continue
-            at = np.array(positions)
-            options = [(*self._best_passage(k, at, grams[at]), size)]
-            if lines is None:
-                ends = np.cumsum([len(words(line)) for line in text.split("\n")])
-                lines = [(a, b) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()) if b - a > 1] + [(0, len(ws))]
-            for a, b in lines:
-                if low <= b - a - 1 <= high:
-                    inside = Counter(grams[at[(at >= a) & (at < b - 1)]].tolist())
-                    both = sum((inside & self.counts[k]).values())
-                    options.append((2 * both / (size + b - a - 1), a, b - a - 1))
-            score, first, n = max(options, key=lambda o: (o[0], -o[1]))
-            if score >= self.threshold and score > found.get(self.names[k], (0.0,))[0]:
-                found[self.names[k]] = (score, first, n + 1)
-        # licences that share their wording: a passage names the one that it is most like
+        place = place[hits]
+        has = self.counts[place] > 0
+        found = []
+        for k in np.flatnonzero(has.sum(axis=0) >= self.needs - 1e-9).tolist():
+            mine = np.flatnonzero(has[:, k])
+            found += [(-shared * score, -score, self.names[k], first, n + 1, score) for score, shared, first, n in self._passages(k, hits[mine], place[mine])]
+        found.sort()
+        taken: list[tuple[int, int]] = []
         kept: list[tuple[str, float, int, int]] = []
-        for name, (score, first, n) in sorted(found.items(), key=lambda f: (-f[1][0], -f[1][2], f[0])):
-            if not any(first < b + m and b < first + n for _, _, b, m in kept):
+        for _, _, name, first, n, score in found:
+            i = bisect_left(taken, (first, 0))
+            if (i == len(taken) or taken[i][0] >= first + n) and (i == 0 or taken[i - 1][1] <= first):
+                insort(taken, (first, first + n))
                 kept.append((name, score, first, n))
-        return sorted(kept)
+        return sorted(kept, key=lambda m: m[2])
+
+
+def _kinds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, for each element its value's place among them, and where each value is met first."""
+    kinds, first, inverse = np.unique(x, return_index=True, return_inverse=True)
+    return kinds, inverse, first
+
+
+@lru_cache(maxsize=4)
+def _standard(threshold: float) -> Templates:
+    return Templates(TEMPLATES, threshold)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, license, similarity, first_word, n_words): a row for each licence that a text holds, none for other texts.
+    """(doc_id, license, similarity, first_word, n_words): a row for each passage that is like a licence, none for other texts.
 
-    Null and empty texts hold none; repeated rows are found each; rows without an id too. No rows give no rows. Texts are
-    scanned whole, in time proportional to their length, without a shuffle.
+    A licence that a text holds in several places has a row for each. Null and empty texts hold none; repeated rows are
+    found each; rows without an id too. No rows give no rows. Texts are scanned whole, without a shuffle.
     """
-    given = templates or TEMPLATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates(given, threshold)
+        known = Templates(templates, threshold) if templates else _standard(threshold)
         for b in batches:
             rows = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1)) for m in known.matches(t.as_py())]
             columns = list(zip(*rows)) or [(), (), (), (), ()]
@@ -215,7 +232,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:
-    """One row per document: the licences found, by name, with their similarities in millionths."""
+    """One row per passage that is like a licence, with its similarity in millionths."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = scan(docs)
     return found.select("doc_id", "license", F.round(F.col("similarity") * 1_000_000).cast("long").alias("similarity_ppm"), "first_word", "n_words")
