@@ -10,7 +10,6 @@ among the pieces of their length.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +23,7 @@ from .common import bounded_rank, buckets_for, id_text, stash
 SIZE = 1024
 END = 2
 Place = tuple[int, int]
-#: Slack that a bin may keep if one or two lengths fill it so far; the best of these allowances is used.
+#: Slack with which a bin may be taken as full; the best of these allowances is used.
 SLACKS = (0, 2, 5, 8, 12, 16, 24, 32, 48, 64)
 
 
@@ -91,17 +90,20 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     return id_text(docs, id_col, text_col).mapInArrow(run, kinds)
 
 
-def fullest(left: dict[int, int], room: int) -> dict[int, int]:
-    """The multiset of lengths (at most ``left`` of each) with the greatest sum within ``room``; longer lengths first."""
-    reach, mask, steps = 1, (1 << (room + 1)) - 1, []
+def fullest(left: dict[int, int], room: int, slack: int = 0) -> dict[int, int]:
+    """The multiset of lengths (at most ``left`` of each) with the greatest sum within ``room``.
+
+    Longer lengths enter the sums first, and the search ends with the first sum that leaves ``slack`` at most.
+    """
+    reach, mask, steps, enough = 1, (1 << (room + 1)) - 1, [], max(0, room - slack)
     for length in sorted((x for x in left if x <= room), reverse=True):
         n, k = min(left[length], room // length), 1
-        while n > 0 and not reach >> room & 1:
+        while n > 0 and not reach >> enough:
             k = min(k, n)
             steps.append((length, k, reach))
             reach |= (reach << length * k) & mask
             n, k = n - k, k * 2
-        if reach >> room & 1:
+        if reach >> enough:
             break
     total, use = reach.bit_length() - 1, {}
     for length, k, before in reversed(steps):
@@ -111,33 +113,13 @@ def fullest(left: dict[int, int], room: int) -> dict[int, int]:
     return use
 
 
-def _few(left: dict[int, int], room: int, slack: int) -> dict[int, int] | None:
-    """One length, or else two, that fill ``room`` but for ``slack`` at most; the longest first."""
-    lengths = sorted(left)
-    i = bisect_right(lengths, room) - 1
-    if i >= 0 and room - lengths[i] <= slack:
-        return {lengths[i]: 1}
-    if room <= slack:
-        return {}
-    for x in reversed(lengths[: i + 1]):
-        if 2 * x < room - slack:
-            return None
-        k = bisect_right(lengths, min(x, room - x)) - 1
-        if k >= 0 and lengths[k] == x and left[x] < 2:
-            k -= 1
-        if k >= 0 and room - x - lengths[k] <= slack:
-            return {x: 2} if lengths[k] == x else {x: 1, lengths[k]: 1}
-    return None
-
-
 def _patterns(histogram: dict[int, int], size: int, slack: int) -> list[tuple[int, list[tuple[int, int]]]]:
     left = {x: n for x, n in histogram.items() if n > 0}
     found = []
     while left:
         longest = max(left)
         rest = {x: n - (x == longest) for x, n in left.items() if n > (x == longest)}
-        use = _few(rest, size - longest, slack)
-        use = dict(fullest(rest, size - longest) if use is None else use)
+        use = fullest(rest, size - longest, slack)
         use[longest] = use.get(longest, 0) + 1
         times = min(left[x] // k for x, k in use.items())
         for x, k in use.items():
@@ -151,8 +133,8 @@ def _patterns(histogram: dict[int, int], size: int, slack: int) -> list[tuple[in
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, list[tuple[int, int]]]]:
     """(number of bins, [(length, copies in each bin), ...]), longest lengths first.
 
-    The search is made strict and relaxed: a bin that one or two more lengths fill up to a small slack is taken so, which
-    saves short lengths for bins that need them. Of the allowances in SLACKS the one with the fewest bins counts.
+    The programme runs strict and with each allowance in SLACKS: a bin that is full but for the allowance is taken at once,
+    of longer lengths, which saves short ones for bins that need them. The run with the fewest bins counts.
     """
     least = -(-sum(x * n for x, n in histogram.items()) // size)
     best: list[tuple[int, list[tuple[int, int]]]] | None = None
