@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import bound_batches, discard, shared_dir, stash
 
-__all__ = ["bounded_rank", "buckets_for", "discard", "id_text", "shared_dir", "skewed_lookup", "stash"]
+__all__ = ["bounded_rank", "buckets_for", "discard", "id_text", "plain", "shared_dir", "skewed_lookup", "stash"]
 
 #: Keys holding more than 1/HOT_SHARE of all rows are joined by broadcast; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 512
@@ -19,6 +19,11 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ...: names with dots, and names that meet ours, are put back at the end by ``toDF``."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def skewed_lookup(left: DataFrame, right: DataFrame, key: str, n_col: str, total: int) -> DataFrame:
     """Inner join of ``left`` with ``right`` (one row per key, ``n_col`` the rows of ``left`` with it).
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_rank, buckets_for, stash
+from .common import bounded_rank, buckets_for, plain, stash
 
 SHARDS = 40
 SEED = 20240607
@@ -46,6 +46,10 @@ def communication_matrix(sources: list[int], targets: list[int], seed: int = SEE
     matrix = np.zeros((len(sources), len(targets)), dtype=np.int64)
     for i, n in enumerate(sources):
         rest = sum(left)
+        if rest < _NUMPY_LIMIT:
+            matrix[i] = rng.multivariate_hypergeometric(left, n, method="marginals")
+            left = (np.array(left) - matrix[i]).tolist()
+            continue
         for j, room in enumerate(left):
             rest -= room
             take = n if not rest else _hypergeometric(rng, room, rest, n) if n and room else 0
@@ -58,9 +62,11 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -
     """Add shard (sizes at most one apart) and slot (gapless from 0 in each shard) to all rows of ``df``.
 
     Every row counts as itself: repeated rows, null ids and null texts are shuffled like any other, and no rows give no
-    rows. The driver holds one row of counts per partition, never rows of data; no task holds a whole shard.
+    rows. Columns of ``df`` may have any names; where it has a shard or slot already, the new ones get a trailing
+    underscore. The driver holds one row of counts per partition, never rows of data; no task holds a whole shard.
     """
-    placed = stash(df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "shard-rows")
+    given = plain(df)
+    placed = stash(given.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "shard-rows")
     counts = placed.groupBy("_part").count().orderBy("_part").collect()
     total = sum(r["count"] for r in counts)
     matrix = communication_matrix([r["count"] for r in counts], shard_sizes(total, shards), seed)
@@ -74,7 +80,12 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -
     )
     sent = stash(sent, "sent")
     again = F.xxhash64(F.lit(seed + 1), "_at")
-    return bounded_rank(sent, ["shard"], [F.xxhash64(F.lit(seed + 2), "_at"), F.col("_at")], again, buckets_for(-(-total // shards)), "slot").drop("_at")
+    out = bounded_rank(sent, ["shard"], [F.xxhash64(F.lit(seed + 2), "_at"), F.col("_at")], again, buckets_for(-(-total // shards)), "slot")
+    new = ["shard", "slot"]
+    for i, n in enumerate(new):
+        while new[i] in df.columns:
+            new[i] += "_"
+    return out.select(*given.columns, "shard", "slot").toDF(*df.columns, *new)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

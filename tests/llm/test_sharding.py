@@ -51,3 +51,13 @@ def test_query_columns(spark, tmp_path):
     got = sharding.op6_sharding(spark, str(tmp_path)).collect()
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=str) == sorted(((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows), key=str)
     assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+
+
+def test_names_of_columns_do_not_matter(spark):
+    names = ["shard", "slot", "_part", "_at", "_rank", "_cuts", "_bucket", "a.b", "slot_"]
+    df = spark.createDataFrame([tuple(i * 10 + k for k in range(9)) for i in range(50)], ", ".join(f"`{n}` long" for n in names))
+    got = sharding.shuffle_into_shards(df, 3)
+    assert got.columns == [*names, "shard_", "slot__"]
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(r[:9] for r in rows) == [tuple(i * 10 + k for k in range(9)) for i in range(50)]
+    assert sorted(r[9:] for r in rows) == [(s, k) for s in range(3) for k in range(sharding.shard_sizes(50, 3)[s])]
