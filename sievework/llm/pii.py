@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from .common import skewed_lookup, stash
+from .common import plain, skewed_lookup, stash
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ID = KINDS.index("id")
@@ -367,15 +367,17 @@ def find(docs: DataFrame, text_col: str = "text", trusted: DataFrame | None = No
     and are never part of a base span. Names that ``docs`` has already are given a trailing underscore. With ``redacted``,
     spans in the text itself are replaced by their kinds. ``trusted`` has the patterns to go by, if they are known.
     """
-    texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    given, at, width = docs.columns, docs.columns.index(text_col), len(docs.columns)
+    docs = plain(docs)
+    whole = F.coalesce(F.col(f"c{at}").cast("string"), F.lit(""))
+    texts = docs.select(whole.alias("text"))
     trusted = trusted_patterns(texts) if trusted is None else trusted
     few = trusted.limit(FEW + 1).count() <= FEW
     sent = frozenset(r["pattern"] for r in trusted.select("pattern").collect()) if few else frozenset()
     names = ["base", "spans"]
     for i, n in enumerate(names):
-        while names[i] in docs.columns:
+        while names[i] in given:
             names[i] += "_"
-    at, width = docs.columns.index(text_col), len(docs.columns)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,9 +403,9 @@ def find(docs: DataFrame, text_col: str = "text", trusted: DataFrame | None = No
     for n in names:
         schema = schema.add(n, _SPANS)
     if few:
-        return docs.mapInArrow(run, schema)
-    keyed = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))
-    return keyed.join(_marked(texts, trusted), "_digest", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_more").mapInArrow(run, schema)
+        return docs.mapInArrow(run, schema).toDF(*given, *names)
+    keyed = docs.withColumn("_digest", F.sha2(whole, 256))
+    return keyed.join(_marked(texts, trusted), "_digest", "left").select(*docs.columns, "_more").mapInArrow(run, schema).toDF(*given, *names)
 
 
 def _listed(spans: str):

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, stash
+from .common import id_text, plain, stash
 
 #: Labelled documents that the lexicon and the logistic model are fitted on, at most, chosen by a hash of their id.
 SAMPLE = 20_000
@@ -281,22 +281,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
 def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and toxicity, from the text alone; null and empty texts get the score of no signs."""
-    schema = docs.schema
     columns = docs.columns
-    name = "toxicity"
+    at, name = columns.index(text_col), "toxicity"
     while name in columns:
         name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(classifier.model, classifier.lexicon)
-        at = columns.index(text_col)
         for b in batches:
             scores = [classifier.score(reader.features(t)) if (t := x.as_py()) else classifier.score(set()) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*schema.fields]).add(name, DoubleType()))
+    given = plain(docs)
+    return given.mapInArrow(run, StructType([*given.schema.fields]).add(name, DoubleType())).toDF(*columns, name)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
