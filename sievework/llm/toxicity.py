@@ -8,6 +8,7 @@ documents, and a logistic model turns what a text holds into a score.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -190,6 +191,17 @@ class Reader:
         return found
 
 
+_READERS: dict[str, Reader] = {}
+
+
+def _reader(key: str, model: np.ndarray, lexicon: dict[str, float]) -> Reader:
+    """This process's reader: tasks that follow one another in a worker go on with what it remembers."""
+    if key not in _READERS:
+        _READERS.clear()
+        _READERS[key] = Reader(model, lexicon)
+    return _READERS[key]
+
+
 @dataclass
 class Classifier:
     model: np.ndarray
@@ -286,8 +298,10 @@ def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_
     while name in columns:
         name += "_"
 
+    key = hashlib.sha256(classifier.model.tobytes() + repr(sorted(classifier.lexicon.items())).encode()).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(classifier.model, classifier.lexicon)
+        reader = _reader(key, classifier.model, classifier.lexicon)
         for b in batches:
             scores = [classifier.score(reader.features(t)) if (t := x.as_py()) else classifier.score(set()) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name])
