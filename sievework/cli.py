@@ -7,6 +7,7 @@ import sys
 from collections.abc import Callable
 
 from .operators import gates
+from .operators.duplicates import PREFIX, TREE_PREFIX
 from .operators.neardup import NearDuplicateConfig
 from .plans import reports, terminal
 from .session import local_session
@@ -54,6 +55,7 @@ def parser() -> argparse.ArgumentParser:
     for c, name in ((scan, "report"), (compare, "compare"), (bench, "benchmark")):
         c.add_argument("-o", "--output", default=f"sievework-{name}.json")
         c.add_argument("--max-evidence", type=_number(int, 1), default=reports.MAX_EVIDENCE)
+        c.add_argument("--tree-fingerprint", action="store_true", help="a fingerprint without a stream of all digests, for large tables")
         c.add_argument("--allow-directory", action="store_true", help="take folders of files too")
     for c in (compare, bench):
         c.add_argument("--fail-on-overlap", action="store_true")
@@ -62,7 +64,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _run(args: argparse.Namespace, spark) -> tuple[dict, str]:
-    more = {"allow_directory": args.allow_directory}
+    more = {"allow_directory": args.allow_directory, "prefix": TREE_PREFIX if args.tree_fingerprint else PREFIX}
     if args.command == "scan":
         near = NearDuplicateConfig(threshold=args.near_duplicate_threshold, shingle_size=args.shingle_size, num_perm=args.num_perm, enabled=not args.skip_near_duplicates, max_evidence=args.max_evidence)
         report = reports.scan_dataset(spark, args.path, near, **more)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.canonical import record_digest
 
 PREFIX = "sieve:"
+#: The prefix of ``tree_fingerprint``, and what reports call it.
+TREE_PREFIX = "sievetree:"
+TREE = "normalized_record_multiset_sha256_tree"
 
 
 def with_digest(df: DataFrame, columns: list[str] | None = None, strip: bool = True, name: str = "digest") -> DataFrame:
@@ -49,7 +52,7 @@ def fingerprint(digests: DataFrame, prefix: str = PREFIX) -> str:
     return prefix + (hashlib.sha256(b"empty") if empty else h).hexdigest()[:16]
 
 
-def tree_fingerprint(digests: DataFrame, prefix: str = "sievetree:", digits: int = 4) -> str:
+def tree_fingerprint(digests: DataFrame, prefix: str = TREE_PREFIX, digits: int = 4) -> str:
     """Another order-independent fingerprint, for tables too large for one stream: two levels of hashing.
 
     Digests are counted; those that share their first ``digits`` are hashed together in order, then these hashes are.

@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..functions.canonical import record_digest
 from ..functions.text import display
-from ..operators.duplicates import PREFIX, exact_duplicates, fingerprint
+from ..operators.duplicates import PREFIX, TREE, TREE_PREFIX, exact_duplicates, fingerprint, tree_fingerprint
 from ..operators.extraction import field_text, first_text
 from ..operators.neardup import NearDuplicateConfig, near_duplicates
 from ..operators.overlap import evidence, field_differences, match_rate, overlap_counts, overlap_rate
 from ..sources.datasets import ROW, Dataset, read_dataset
 from ..sources.references import get_adapter
+from . import model
 
 TOOL = "sievework"
 FINGERPRINT = "normalized_record_multiset_sha256"
+#: A report's own prefix asks for this fingerprint, or the other: see ``duplicates``.
+_FINGERPRINTS = {TREE_PREFIX: (tree_fingerprint, TREE)}
 MAX_EVIDENCE = 100
 _NOTES = ["The report states its input, configuration, method and result.", "Results are technical evidence under the stated method, no verdict.", "Rows in evidence are counted from 0."]
 
@@ -52,8 +55,16 @@ def _digests(data: Dataset, strip: bool) -> DataFrame:
     return data.frame.select(F.col(ROW).alias("row"), record_digest(data.frame, strip, data.columns).alias("digest"))
 
 
+def _fingerprint(digests: DataFrame, prefix: str) -> str:
+    return _FINGERPRINTS.get(prefix, (fingerprint,))[0](digests, prefix)
+
+
+def _fingerprint_kind(prefix: str) -> str:
+    return _FINGERPRINTS[prefix][1] if prefix in _FINGERPRINTS else FINGERPRINT
+
+
 def _reference(data: Dataset, digests: DataFrame, rows: int, prefix: str) -> dict:
-    return {"path": data.path, "format": data.format, "rows": rows, "size_bytes": data.size_bytes, "columns": data.columns, "fingerprint": fingerprint(digests, prefix)}
+    return {"path": data.path, "format": data.format, "rows": rows, "size_bytes": data.size_bytes, "columns": data.columns, "fingerprint": _fingerprint(digests, prefix)}
 
 
 def scan(data: Dataset, near: NearDuplicateConfig | None = None, prefix: str = PREFIX) -> dict:
@@ -70,12 +81,12 @@ def scan(data: Dataset, near: NearDuplicateConfig | None = None, prefix: str = P
     report = _shell(
         input={"path": data.path, "format": data.format, "rows": rows, "size_bytes": data.size_bytes, "columns": data.columns},
         configuration={"row_index_base": 0, "near_duplicates": {"enabled": cfg.enabled, "threshold": cfg.threshold, "shingle": shingle, "num_perm": cfg.num_perm, "max_evidence_pairs": cfg.max_evidence if cfg.enabled else MAX_EVIDENCE}},
-        method={"unit": "full_record", "fingerprint": FINGERPRINT, "exact_duplicates": "record_normalized_v1 (stripped strings; compare's exact overlap uses record_exact_v1)", "row_index_base": 0, "record_normalized": record_spec(True), "near_duplicates": method},
-        result={"fingerprint": fingerprint(digests, prefix), "exact_duplicates": exact, "near_duplicates": near_result},
+        method={"unit": "full_record", "fingerprint": _fingerprint_kind(prefix), "exact_duplicates": "record_normalized_v1 (stripped strings; compare's exact overlap uses record_exact_v1)", "row_index_base": 0, "record_normalized": record_spec(True), "near_duplicates": method},
+        result={"fingerprint": _fingerprint(digests, prefix), "exact_duplicates": exact, "near_duplicates": near_result},
         notes=notes,
     )
     digests.unpersist()
-    return report
+    return model.check(report, model.SCAN)
 
 
 def _stats(a: DataFrame, b: DataFrame) -> dict:
@@ -131,17 +142,18 @@ def compare(a: Dataset, b: Dataset, max_evidence: int = MAX_EVIDENCE, text_field
     unit = "full_record" if whole else "field_text"
     base = "record" if whole else "text"
     spec = record_spec if whole else text_spec
-    method = {"unit": unit, **field, "exact_overlap": f"{base}_exact_v1", "normalized_overlap": f"{base}_normalized_v1", "fingerprint": FINGERPRINT, "row_index_base": 0}
+    method = {"unit": unit, **field, "exact_overlap": f"{base}_exact_v1", "normalized_overlap": f"{base}_normalized_v1", "fingerprint": _fingerprint_kind(prefix), "row_index_base": 0}
     method |= {"field_diff": "fields that differ as they are; only for pairs that are not also exact"} if whole else {}
     method |= {f"{base}_exact": spec(False), f"{base}_normalized": spec(True)}
     notes = [*_NOTES, "The overlap rate is shared digests over the smaller side's distinct digests.", "All fields of a record take part." if whole else f"Only the column '{text_field}' takes part.", "Exact evidence is pairs of rows; normalised evidence also says whether a pair is exact, and how it differs if not."]
-    return _shell(
+    report = _shell(
         input={"dataset_a": refs[0], "dataset_b": refs[1]},
         configuration={"match_exact": True, "match_normalized": True, "max_evidence_pairs": max_evidence, "row_index_base": 0, **field, "fail_on_overlap": False},
         method=method,
         result={"exact_overlap": stats["exact"], "normalized_overlap": stats["normalized"], "matches": {"exact": exact_items, "normalized": items, "exact_truncated": exact_truncated, "normalized_truncated": truncated}},
         notes=notes,
     )
+    return model.check(report, model.COMPARE)
 
 
 def benchmark_check(data: Dataset, benchmark_id: str, reference: str | Path | None = None, max_evidence: int = MAX_EVIDENCE, prefix: str = PREFIX) -> dict:
@@ -161,9 +173,9 @@ def benchmark_check(data: Dataset, benchmark_id: str, reference: str | Path | No
     digests, ref_digests = _digests(data, True).persist(), _digests(loaded.dataset, True)
     rows = digests.count()
     report = _shell(
-        input={"dataset": _reference(data, digests, rows, prefix), "benchmark_id": adapter.id, "benchmark_name": adapter.name, "reference_source": loaded.source, "reference_path": loaded.path, "benchmark_records": loaded.dataset.rows(), "benchmark_fingerprint": fingerprint(ref_digests, prefix)},
+        input={"dataset": _reference(data, digests, rows, prefix), "benchmark_id": adapter.id, "benchmark_name": adapter.name, "reference_source": loaded.source, "reference_path": loaded.path, "benchmark_records": loaded.dataset.rows(), "benchmark_fingerprint": _fingerprint(ref_digests, prefix)},
         configuration={"benchmark": adapter.id, "match_exact": True, "match_normalized": True, "match_near_duplicate": False, "max_evidence_pairs": max_evidence, "row_index_base": 0, "fail_on_overlap": False},
-        method={"unit": "extracted_text", "text_extraction": {"strategy": "first_non_empty", "candidate_fields": fields}, "fingerprint": FINGERPRINT, "row_index_base": 0, "exact": "text_exact_v1", "normalized": "text_normalized_v1", "near_duplicate": "disabled", "text_exact": text_spec(False), "text_normalized": text_spec(True)},
+        method={"unit": "extracted_text", "text_extraction": {"strategy": "first_non_empty", "candidate_fields": fields}, "fingerprint": _fingerprint_kind(prefix), "row_index_base": 0, "exact": "text_exact_v1", "normalized": "text_normalized_v1", "near_duplicate": "disabled", "text_exact": text_spec(False), "text_normalized": text_spec(True)},
         result={
             "exact_matches": matches["exact"], "normalized_matches": matches["normalized"], "near_matches": 0,
             "exact_rate": match_rate(matches["exact"], rows), "normalized_rate": match_rate(matches["normalized"], rows),
@@ -174,7 +186,7 @@ def benchmark_check(data: Dataset, benchmark_id: str, reference: str | Path | No
     )
     for x in (own, other, digests):
         x.unpersist()
-    return report
+    return model.check(report, model.BENCHMARK)
 
 
 def with_gate(report: dict, gate: dict | None, **policy) -> dict:
@@ -186,14 +198,14 @@ def with_gate(report: dict, gate: dict | None, **policy) -> dict:
     return {**{k: v for k, v in report.items() if k != "notes"}, "configuration": report["configuration"] | given, "gate": gate, "notes": notes}
 
 
-def scan_dataset(spark: SparkSession, path, near: NearDuplicateConfig | None = None, **options) -> dict:
-    return scan(read_dataset(spark, path, **options), near)
+def scan_dataset(spark: SparkSession, path, near: NearDuplicateConfig | None = None, prefix: str = PREFIX, **options) -> dict:
+    return scan(read_dataset(spark, path, **options), near, prefix)
 
 
-def compare_datasets(spark: SparkSession, path_a, path_b, max_evidence: int = MAX_EVIDENCE, text_field: str | None = None, **options) -> dict:
-    return compare(read_dataset(spark, path_a, **options), read_dataset(spark, path_b, **options), max_evidence, text_field)
+def compare_datasets(spark: SparkSession, path_a, path_b, max_evidence: int = MAX_EVIDENCE, text_field: str | None = None, prefix: str = PREFIX, **options) -> dict:
+    return compare(read_dataset(spark, path_a, **options), read_dataset(spark, path_b, **options), max_evidence, text_field, prefix)
 
 
-def check_benchmark(spark: SparkSession, path, benchmark_id: str, reference=None, max_evidence: int = MAX_EVIDENCE, **options) -> dict:
+def check_benchmark(spark: SparkSession, path, benchmark_id: str, reference=None, max_evidence: int = MAX_EVIDENCE, prefix: str = PREFIX, **options) -> dict:
     get_adapter(benchmark_id)  # an unknown id fails before any file is opened
-    return benchmark_check(read_dataset(spark, path, **options), benchmark_id, reference, max_evidence)
+    return benchmark_check(read_dataset(spark, path, **options), benchmark_id, reference, max_evidence, prefix)

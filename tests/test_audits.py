@@ -1,15 +1,16 @@
 import hashlib
 import json
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 
 from sievework import cli
 from sievework.operators import gates
-from sievework.operators.duplicates import fingerprint, tree_fingerprint, with_digest
+from sievework.operators.duplicates import TREE_PREFIX, fingerprint, tree_fingerprint, with_digest
 from sievework.operators.neardup import NearDuplicateConfig
 from sievework.operators.overlap import match_rate, overlap_rate
-from sievework.plans import reports, terminal
+from sievework.plans import model, reports, terminal
 
 
 def jsonl(path, rows):
@@ -166,3 +167,21 @@ def test_command_line(spark, five, pair, tmp_path, capsys):
     assert cli.main(["benchmark-check", str(five), "-b", "gsm8k", *into, "--fail-on-overlap"], spark) == 0
     assert cli.main([], spark) == 0
     capsys.readouterr()
+
+
+def test_example_overlaps_the_packaged_sample(spark):
+    report = reports.check_benchmark(spark, Path(__file__).parents[1] / "examples" / "train_with_overlap.jsonl", "gsm8k")
+    assert report["result"]["exact_matches"] == 1 and report["result"]["normalized_matches"] == 2
+    assert report["result"]["matches"]["normalized"] == [{"dataset_record": 0, "reference_record": 2, "field": "question"}, {"dataset_record": 1, "reference_record": 1, "field": "question"}]
+
+
+def test_reports_are_checked_against_their_model(spark, five):
+    report = reports.scan_dataset(spark, five, prefix=TREE_PREFIX)
+    assert report["result"]["fingerprint"].startswith(TREE_PREFIX) and report["method"]["fingerprint"].endswith("_tree")
+    gated = reports.with_gate(report, gates.scan_gate(report, max_duplicate_rate=0), max_duplicate_rate=0)
+    assert model.check(gated, model.SCAN) is gated
+    for change in ({"rows": 5.0}, {"rows": True}, {"more": 1}, {"columns": [1]}, {"columns": "text"}, {"path": None}):
+        with pytest.raises(ValueError, match="report.input"):
+            model.check({**report, "input": report["input"] | change}, model.SCAN)
+    with pytest.raises(ValueError, match="too few: notes"):
+        model.check({k: v for k, v in report.items() if k != "notes"}, model.SCAN)
