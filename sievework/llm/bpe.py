@@ -17,6 +17,7 @@ from itertools import chain
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -25,9 +26,9 @@ from .common import id_text
 #: Words and bytes of one recursive query, bytes of words and ids remembered within a process, and text and tokens handled at once.
 WORDS_AT_ONCE = 60_000
 BYTES_AT_ONCE = 2 << 20
-REMEMBERED = 120 << 20
-TEXT_AT_ONCE = 4_000_000
-TOKENS_AT_ONCE = 1_000_000
+REMEMBERED = 150 << 20
+TEXT_AT_ONCE = 8_000_000
+TOKENS_AT_ONCE = 300_000
 #: Words of more bytes are contracted over a heap of pairs instead: the query needs a round for each of their merges.
 LONG_WORD = 400
 
@@ -59,8 +60,7 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.held = 0
+        self.forget()
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         find = self.ranks.get
         pairs = [(a * 65536 + b, c) for t, c in self.ranks.items() for k in range(1, len(t)) if (a := find(t[:k])) is not None and (b := find(t[k:])) is not None]
@@ -72,16 +72,22 @@ class Codec:
                 cur.register("given", table)
                 cur.execute(f"CREATE TABLE {name} AS SELECT * FROM given").fetchall()
 
-    def _by_query(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def forget(self) -> None:
+        """A word's number leads to its ids: lens[n] of them from starts[n] on in flat."""
+        self.words: dict[str, int] = {}
+        self.flat, self.starts, self.lens = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.held = 0
+
+    def _by_query(self, words: list[bytes]) -> list[np.ndarray]:
+        """Of all words: their numbers in ``words``, in the order of the result, how many ids each has, and the ids."""
         lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         toks = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)].astype(np.int32)
         start = pa.table({"w": np.arange(len(words), dtype=np.int32), "toks": pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lens))).astype(np.int32), toks)})
-        out: list[tuple[int, ...]] = [()] * len(words)
         with self.con.cursor() as cur:
             cur.register("start", start)
-            for w, ids in cur.execute(_ENCODE).fetchall():
-                out[w] = tuple(ids)
-        return out
+            found = cur.sql(_ENCODE).to_arrow_table().combine_chunks()
+        lists = found.column("toks").combine_chunks()
+        return [found.column("w").to_numpy(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy()]
 
     def _by_heap(self, word: bytes) -> tuple[int, ...]:
         """The same contraction in n log n: least rank first, leftmost first among equals."""
@@ -109,60 +115,83 @@ class Codec:
     def learn(self, words: set[str]) -> None:
         """Ids of words not known yet. Words that are tokens need no merging."""
         if self.held > REMEMBERED:
-            self.words.clear()
-            self.held = 0
-        todo: list[str] = []
-        raw: list[bytes] = []
+            self.forget()
+        new = list(words.difference(self.words))
+        raw = [w.encode() for w in new]
+        numbers, lens, ids = [], [], []  # in the order in which ids come
+        single = [(i, t) for i, b in enumerate(raw) if (t := self.ranks.get(b)) is not None]
+        if single:
+            numbers, lens, ids = [np.array([i for i, _ in single])], [np.ones(len(single), dtype=np.int64)], [np.array([t for _, t in single])]
+        known = {i for i, _ in single}
+        todo: list[int] = []
         size = 0
 
         def ask() -> None:
-            for w, ids in zip(todo, self._by_query(raw)):
-                self.words[w] = ids
-                self.held += len(w) + 36 * len(ids)
+            w, n, toks = self._by_query([raw[i] for i in todo])
+            numbers.append(np.array(todo)[w])
+            lens.append(n)
+            ids.append(toks)
             todo.clear()
-            raw.clear()
-
-        for w in words.difference(self.words):
-            b = w.encode()
-            self.held += 200 + len(b)
-            if (i := self.ranks.get(b)) is not None:
-                self.words[w] = (i,)
-            elif len(b) > LONG_WORD:
-                self.words[w] = ids = self._by_heap(b)
-                self.held += 36 * len(ids)
-            else:
-                todo.append(w)
-                raw.append(b)
-                size += len(b)
-                if size > BYTES_AT_ONCE or len(todo) >= WORDS_AT_ONCE:
-                    ask()
-                    size = 0
+
+        for i, b in enumerate(raw):
+            if i in known:
+                continue
+            if len(b) > LONG_WORD:
+                found = np.array(self._by_heap(b))
+                numbers.append(np.array([i]))
+                lens.append(np.array([len(found)]))
+                ids.append(found)
+                continue
+            todo.append(i)
+            size += len(b)
+            if size > BYTES_AT_ONCE or len(todo) >= WORDS_AT_ONCE:
+                ask()
+                size = 0
         if todo:
             ask()
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        if not numbers:
+            return
+        base, at = len(self.lens), len(self.flat)
+        n = np.concatenate(lens).astype(np.int64)
+        self.flat = np.concatenate((self.flat, *ids)).astype(np.int32)
+        self.lens = np.concatenate((self.lens, n))
+        self.starts = np.concatenate((self.starts, at + np.cumsum(n) - n))
+        self.words.update(zip((new[i] for i in np.concatenate(numbers).tolist()), range(base, base + len(n))))
+        self.held += 200 * len(new) + 2 * sum(map(len, new)) + 4 * len(self.flat) - 4 * at
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin and end."""
         split = [self.pattern.findall(t) for t in texts]
         self.learn(set(chain.from_iterable(split)))
-        get = self.words.__getitem__
-        return [list(chain.from_iterable(map(get, ws))) for ws in split]
+        n_words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(n_words.sum()))
+        lens = self.lens[at]
+        ends = np.concatenate(([0], np.cumsum(lens)))
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - ends[:-1], lens)]
+        return ids, ends[np.concatenate(([0], np.cumsum(n_words)))]
 
-    def decode(self, docs: list[list[int]]) -> list[bytes]:
-        out = [b""] * len(docs)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, ends = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(ids, ends[1:-1])] if texts else []
+
+    def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of each text, by ordered aggregation over some texts' ids at once."""
+        out = [b""] * (len(ends) - 1)
         k = 0
-        while k < len(docs):
-            end, n = k, 0
-            while end < len(docs) and (end == k or n + len(docs[end]) <= TOKENS_AT_ONCE):
-                n += len(docs[end])
-                end += 1
-            lens = np.fromiter(map(len, docs[k:end]), dtype=np.int64, count=end - k)
-            toks = np.fromiter(chain.from_iterable(docs[k:end]), dtype=np.int64, count=n)
+        while k < len(out):
+            z = max(k + 1, int(np.searchsorted(ends, ends[k] + TOKENS_AT_ONCE, "right")) - 1)
+            own = ids[ends[k] : ends[z]]
             with self.con.cursor() as cur:
-                cur.register("ids", pa.table({"doc": np.repeat(np.arange(k, end), lens), "pos": np.arange(n), "tok": toks}))
+                cur.register("ids", pa.table({"doc": np.repeat(np.arange(k, z), np.diff(ends[k : z + 1])), "pos": np.arange(len(own)), "tok": own.astype(np.int64)}))
                 for doc, text in cur.execute(_DECODE).fetchall():
                     out[doc] = text.encode("latin-1")
-            k = end
+            k = z
         return out
 
+    def decode(self, docs: list[list[int]]) -> list[bytes]:
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, docs), dtype=np.int64, count=len(docs)))))
+        return self.decode_flat(np.fromiter(chain.from_iterable(docs), dtype=np.int64, count=int(ends[-1])), ends)
+
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
@@ -198,7 +227,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         c = codec(path, pattern)
         for b in batches:
             for ids, texts in _portions(b):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(c.encode(texts), pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                found, ends = c.encode_flat(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32()))], names=["doc_id", "ids"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -229,10 +259,11 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         c = codec(path, pattern)
         for b in batches:
             for docs_, texts in _portions(b):
-                ids = c.encode(texts)
-                sent = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
-                back = [hashlib.sha256(x).hexdigest() for x in c.decode(ids)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(list(map(len, ids)), pa.int64()), pa.array(sent), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids, ends = c.encode_flat(texts)
+                listed = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids).cast(pa.string())), ",")
+                sent = [hashlib.sha256(x.as_buffer()).hexdigest() for x in listed]
+                back = [hashlib.sha256(x).hexdigest() for x in c.decode_flat(ids, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(sent, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -56,7 +57,20 @@ def _encoding(held=[]):
 def test_long_words_agree_with_the_query():
     codec = bpe.codec(PATH, public_tokenizers.PATTERN)
     words = [w.encode() for w in ("a" * 399, "abcd" * 99, "é" * 190, "zq" * 150, "thethethe" * 30)]
-    assert codec._by_query(words) == [codec._by_heap(w) for w in words]
+    order, lens, ids = codec._by_query(words)
+    found = dict(zip(order.tolist(), (tuple(x.tolist()) for x in np.split(ids, np.cumsum(lens)[:-1]))))
+    assert [found[i] for i in range(len(words))] == [codec._by_heap(w) for w in words]
+
+
+def test_what_is_forgotten_is_learnt_again(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 5_000)
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 7)
+    monkeypatch.setattr(bpe, "TOKENS_AT_ONCE", 50)
+    codec, enc = bpe.Codec(PATH, public_tokenizers.PATTERN), _encoding()
+    texts = [f"word{i}x qqzz{i * 7} the {'zq' * 300} émile{i}" for i in range(40)] + [""]
+    for k in range(0, 41, 5):
+        ids = codec.encode(texts[k : k + 5])
+        assert ids == [enc.encode_ordinary(t) for t in texts[k : k + 5]] and codec.decode(ids) == [t.encode() for t in texts[k : k + 5]]
 
 
 def test_unknown_ids_raise(spark):
