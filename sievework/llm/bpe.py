@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 
 from .common import id_text
 
-#: Words and bytes of one recursive query, bytes of words and ids remembered within a process, and text and tokens handled at once.
+#: Words of one recursive query and bytes that its steps take (a word of n bytes leaves n lists of up to n ids), bytes of words and ids remembered within a process, and text and tokens handled at once.
 WORDS_AT_ONCE = 60_000
-BYTES_AT_ONCE = 2 << 20
+BYTES_AT_ONCE = 64 << 20
 REMEMBERED = 150 << 20
 TEXT_AT_ONCE = 8_000_000
 TOKENS_AT_ONCE = 300_000
-#: Words of more bytes are contracted over a heap of pairs instead: the query needs a round for each of their merges.
+#: Words of more bytes are contracted over a heap of pairs instead: the query needs a round for each of their merges and
+#: keeps every round's ids, so that one word of 1,600 bytes is too much for its memory.
 LONG_WORD = 400
 
 _ENCODE = """
@@ -143,7 +144,7 @@ class Codec:
                 ids.append(found)
                 continue
             todo.append(i)
-            size += len(b)
+            size += len(b) * (2 * len(b) + 100)
             if size > BYTES_AT_ONCE or len(todo) >= WORDS_AT_ONCE:
                 ask()
                 size = 0

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -73,6 +74,13 @@ def test_what_is_forgotten_is_learnt_again(monkeypatch):
         assert ids == [enc.encode_ordinary(t) for t in texts[k : k + 5]] and codec.decode(ids) == [t.encode() for t in texts[k : k + 5]]
 
 
+def test_many_words_just_under_the_bound():
+    codec, enc = bpe.Codec(PATH, public_tokenizers.PATTERN), _encoding()
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("etaoinshrdlu", k=390)) for _ in range(100)) for _ in range(8)]
+    assert codec.encode(texts) == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_unknown_ids_raise(spark):
     with pytest.raises(Exception, match="not in the vocabulary"):
         bpe.decode(spark.createDataFrame([(1, [60000])], "doc_id long, ids array<int>")).collect()

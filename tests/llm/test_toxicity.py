@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -98,3 +99,44 @@ def test_every_token_with_several_readings_is_decoded():
     for noisy, word in (("stuupid", "stupid"), ("idioot", "idiot"), ("a$$", "ass"), ("@$$", "ass"), ("(a$$)", "ass"), ("stuupid,", "stupid"), ("s t  u\tp \n i  d", "stupid"), ("st.up_id", "stupid")):
         assert word in reader.features(f"the {noisy} is"), noisy
     assert reader.features("the stupid") == {"the", "stupid", "stup-", "stupi-"}
+
+
+def test_model_lexicon_and_scores_against_brute_force(spark):
+    rows, labels = made(300, 5)
+    docs, given = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = toxicity.fit(docs, given)
+
+    counts = np.full((27, 27, 27), 0.1)
+    for _, t in rows:
+        code = [0, 0, *[ord(c) - 96 if "a" <= c <= "z" else 0 for c in t.lower()], 0, 0]
+        for abc in zip(code, code[1:], code[2:]):
+            counts[abc] += 1
+    brute = np.log(counts / counts.sum(axis=2, keepdims=True))
+    # how texts of a batch follow one another is the only difference: blanks
+    assert np.abs(found.model[1:, 1:, :] - brute[1:, 1:, :]).max() < 1e-9
+
+    train = [(t, labels[i][2]) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    n1, n0 = (len({min(toxicity.xxhash.xxh64_intdigest(" ".join(t.split()[k : k + 5])) >> 1 for k in range(max(1, len(t.split()) - 4))) for t, y in train if y == label}) for label in (1, 0))
+    seen = {}
+    for t, y in train:
+        ws = set(t.split())  # made-up words without doubled letters have one reading
+        for w in ws | {w[:n] + "-" for w in ws for n in (4, 5) if len(w) > n}:
+            seen.setdefault(w, [0, 0])[y] += 1
+    lexicon = {}
+    for w, (c, t) in seen.items():
+        if t >= 3 and t * n0 > c * n1 * 3:
+            cells = [(t, n1, t + c), (c, n0, t + c), (n1 - t, n1, n1 + n0 - t - c), (n0 - c, n0, n1 + n0 - t - c)]
+            if 2 * sum(o * math.log(o * (n1 + n0) / (a * b)) for o, a, b in cells if o > 0) >= 28:
+                lexicon[w] = math.log((t + 0.5) / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1))
+    assert set(found.lexicon) == set(lexicon) and set(lexicon) >= set(BAD) and all(abs(found.lexicon[w] - x) < 1e-9 for w, x in lexicon.items())
+
+    def measures(text):
+        ws = set(text.split())
+        w = [lexicon[f] for f in ws | {w[:n] + "-" for w in ws for n in (4, 5) if len(w) > n} if f in lexicon]
+        return (1.0, max(w), math.log1p(len(w))) if w else (1.0, 0.0, 0.0)
+
+    x, y, w = np.array([measures(t) for t, _ in train]), np.array([y for _, y in train]), np.array(found.weights)
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    assert np.abs(x.T @ (p - y) + 1e-2 * w).max() < 1e-5  # the ridge's optimum
+    for r in toxicity.score(docs, found).collect():
+        assert abs(r["toxicity"] - 1 / (1 + math.exp(-np.clip(np.dot(measures(r["text"]), w), -30, 30)))) < 1e-9
