@@ -154,6 +154,9 @@ class Reader:
         self.held = 0
 
     def _token(self, token: str) -> tuple[str, ...]:
+        bare = token[:-1] if token[-1] in ".,;:?" else token
+        if bare.isalpha() and not _DOUBLED.search(bare):  # one reading, as most words have
+            return tuple(f for f in _named(bare) if self.lexicon is None or f in self.lexicon)
         words = _WORD.findall(token)
         core = token.lstrip("\"'([{<").rstrip("\"')]}>.,;:!?%&*#$-_~")
         for t in {token, core}:  # signs at the ends may stand for letters or be punctuation

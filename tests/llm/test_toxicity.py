@@ -99,6 +99,9 @@ def test_every_token_with_several_readings_is_decoded():
     for noisy, word in (("stuupid", "stupid"), ("idioot", "idiot"), ("a$$", "ass"), ("@$$", "ass"), ("(a$$)", "ass"), ("stuupid,", "stupid"), ("s t  u\tp \n i  d", "stupid"), ("st.up_id", "stupid")):
         assert word in reader.features(f"the {noisy} is"), noisy
     assert reader.features("the stupid") == {"the", "stupid", "stup-", "stupi-"}
+    for token in ("idiot", "idiot.", "idiot,", "idiot?", "idiot:", "É,", ".", "x;", "the?!", "the."):  # as through the lattice
+        words = toxicity._WORD.findall(token) + toxicity._WORD.findall(toxicity.decoded(token, reader.model) or "")
+        assert set(reader._token(token)) >= {f for w in words for f in toxicity._named(w)} and (len(words) > 0) == (len(reader._token(token)) > 0)
 
 
 def test_model_lexicon_and_scores_against_brute_force(spark):
