@@ -6,9 +6,14 @@ themselves; the SQL does the same.
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
+import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +28,18 @@ from ..operators.extraction import field_text, first_text
 from ..operators.overlap import evidence, field_differences, match_rate, overlap_counts, overlap_rate
 from ..session import shared_dir, stash
 from ..sources.datasets import ROW, dataset_of, read_dataset
-from ..sources.references import get_adapter
+from ..sources.references import get_adapter, list_adapters
 from ..streaming.incremental import windowed_counts
 from . import reports
 
 CAP = 100
+#: Tables and their columns, in the files' order.
+TABLES = {
+    "region": "r_regionkey,r_name", "nation": "n_nationkey,n_name,n_regionkey", "customer": "c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment",
+    "supplier": "s_suppkey,s_name,s_nationkey,s_acctbal", "part": "p_partkey,p_name,p_brand,p_type,p_size,p_retailprice",
+    "orders": "o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority", "documents": "doc_id,text,lang,source,n_chars",
+    "benchmark": "item_id,text", "labels": "doc_id,quality,toxic", "conversations": "conv_id,turn,role,text",
+}
 _RECORD = ["text", "lang", "source"]
 _FIELDS = get_adapter("gsm8k").candidate_fields()
 
@@ -370,6 +382,52 @@ def stream_event_counts(spark, sf_dir):
     return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "records")
 
 
+def cli_runs(spark, sf_dir):
+    """The command line over whole files: what each run's exit code is, what it says on failure, and the rows that its JSON states."""
+    from .. import cli
+
+    d, out = sf_dir, []
+    runs = {
+        "scan": ["scan", f"{d}/documents.parquet", "--skip-near-duplicates", "--max-duplicate-rate", "0"],
+        "scan, tree": ["scan", f"{d}/nation.parquet", "--tree-fingerprint", "--max-duplicate-rate", "0"],
+        "scan, near gate": ["scan", f"{d}/nation.parquet", "--near-duplicate-threshold", "0.5", "--max-near-duplicate-rate", "0.5"],
+        "compare, equal": ["compare", f"{d}/nation.parquet", f"{d}/nation.parquet", "--fail-on-overlap", "--max-overlap-rate", "0.5"],
+        "compare, unlike": ["compare", f"{d}/nation.parquet", f"{d}/region.parquet", "--fail-on-overlap"],
+        "compare, no column": ["compare", f"{d}/nation.parquet", f"{d}/nation.parquet", "--text-field", "nothing"],
+        "benchmark": ["benchmark-check", f"{d}/benchmark.parquet", "-b", "GSM8K ", "--reference", f"{d}/benchmark.parquet", "--max-overlap-rate", "0.5"],
+        "benchmark, unknown": ["benchmark-check", f"{d}/benchmark.parquet", "-b", "other"],
+        "no file": ["scan", "/nowhere/x.parquet"],
+        "no format": ["scan", "/nowhere.csv"],
+        "no option": ["scan", f"{d}/nation.parquet", "--shingle-size", "0"],
+        "no command": [],
+    }
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own reports, read again at once
+        for name, argv in runs.items():
+            to = f"{folder}/{len(out)}.json"
+            errors = io.StringIO()
+            with contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(errors):
+                code = cli.main([*argv, "-o", to] if argv else argv, spark)
+            said = next((line for line in errors.getvalue().splitlines() if line.startswith("Policy")), "")
+            told = json.loads(Path(to).read_text())["input"] if Path(to).exists() else {}
+            rows = next((told[k]["rows"] if k else told["rows"] for k in ("dataset_a", "dataset", "") if not k or k in told), -1) if told else -1
+            out.append((name, code, said, rows))
+    return spark.createDataFrame(out, "run string, code int, said string, rows long")
+
+
+def dataset_facts(spark, sf_dir):
+    """Every table as a dataset: its format, rows and columns."""
+    out = []
+    for name in TABLES:
+        data = read_dataset(spark, f"{sf_dir}/{name}.parquet", allow_directory=True)
+        out.append((name, data.format, data.rows(), ",".join(data.columns), data.size_bytes > 0))
+    return spark.createDataFrame(out, "name string, format string, rows long, columns string, has_size boolean")
+
+
+def benchmark_registry(spark, sf_dir):
+    """The benchmarks known, and which of their fields hold a record's text."""
+    return spark.createDataFrame([(a.id, a.name, ",".join(a.candidate_fields())) for a in list_adapters()], "id string, name string, fields string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -378,7 +436,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         benchmark_extract, benchmark_match, benchmark_evidence, near_text_digest, char_shingles_count, minhash_signature, lsh_candidates,
         near_duplicates_lsh, near_duplicate_summary, near_duplicate_evidence, near_duplicates_pairwise, gate_scan, gate_compare, gate_benchmark,
         jsonl_roundtrip, parquet_row_index, stream_event_counts, compare_field_union, record_digest_typed, record_digest_nested, near_text_joined,
-        frame_rows, report_scan, report_compare, report_compare_text, report_benchmark,
+        frame_rows, cli_runs, dataset_facts, benchmark_registry, report_scan, report_compare, report_compare_text, report_benchmark,
     )
 }
 
@@ -582,6 +640,22 @@ def _report_benchmark_sql() -> str:
     return _leaves_sql(_numbers_sql(numbers, rows), said, *parts)
 
 
+def _cli_sql() -> str:
+    """What the runs of cli_runs come to; rates follow from the tables."""
+    names = "SELECT count(*) FROM nation"
+    near = f"SELECT count(DISTINCT x) / ({names}) AS r FROM (SELECT left_row AS x FROM p UNION ALL SELECT right_row FROM p)"
+    told = {
+        "scan": ("0", "''", "SELECT count(*) FROM documents"), "scan, tree": ("0", "''", names),
+        "scan, near gate": ("CASE WHEN r > 0.5 THEN 2 ELSE 0 END", "CASE WHEN r > 0.5 THEN 'Policy gate failed (near_duplicate_rate=' || CASE WHEN r = 1 THEN '1' ELSE round(r, 6)::VARCHAR END || '>0.5); exit 2.' ELSE '' END", names),
+        "compare, equal": ("2", "'Policy gate failed (exact_overlap_rate=1>0, normalized_overlap_rate=1>0); exit 2.'", names),
+        "compare, unlike": ("0", "''", names), "compare, no column": ("1", "''", "SELECT -1"),
+        "benchmark": ("2", "'Policy gate failed (exact_match_rate=1>0.5, normalized_match_rate=1>0.5); exit 2.'", "SELECT count(*) FROM benchmark"),
+        **dict.fromkeys(("benchmark, unknown", "no file", "no format", "no option"), ("1", "''", "SELECT -1")), "no command": ("0", "''", "SELECT -1"),
+    }
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS run, ({code})::INTEGER AS code, {said} AS said, ({n})::BIGINT AS rows FROM g" for k, (code, said, n) in told.items())
+    return f"WITH p AS (SELECT * FROM ({_scores_sql('(SELECT n_nationkey, n_name AS text FROM nation)', 'n_nationkey')}) WHERE score >= 0.5), g AS ({near}) {rows}"
+
+
 def _all_near_pairs() -> str:
     """Pairs of rows, records that are equal left out."""
     return (
@@ -652,6 +726,9 @@ ORACLE_SQL: dict[str, str] = {
     "record_digest_nested": _nested_sql(),
     "near_text_joined": f"SELECT c_custkey AS row, sha256({_near_sql("c_mktsegment || ' ' || c_name")}) AS near_sha256, '-' AS field FROM customer",
     "frame_rows": "SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS row, c_custkey FROM customer",
+    "cli_runs": _cli_sql(),
+    "dataset_facts": " UNION ALL ".join(f"SELECT '{t}' AS name, 'parquet' AS format, count(*) AS rows, '{c}' AS columns, true AS has_size FROM {t}" for t, c in TABLES.items()),
+    "benchmark_registry": "SELECT 'gsm8k' AS id, 'GSM8K' AS name, 'question,problem,prompt,text' AS fields",
     "report_scan": _report_scan_sql(),
     "report_compare": _report_compare_sql(),
     "report_compare_text": _report_compare_text_sql(),
