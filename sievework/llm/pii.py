@@ -281,19 +281,31 @@ def _occurrences(docs: DataFrame, bits: bytes, held: int = 100_000) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         second: dict[str, int] = {}
         counts: dict[str, int] = {}
+        other: set[str] = set()
         for b in batches:
             for t in b.column(0):
                 words = ["^", "^", *t.as_py().lower().split()]
-                for i, w in enumerate(words):
+                last = ""
+                for w in words:
                     known = second.get(w)
                     if known is None:
                         known = _holds(bits, w)
                         if len(w) < 100:  # what is remembered is bounded in bytes
                             second[w] = known
-                    if known and i and _holds(bits, c := f"L{words[i - 1]} {w}"):
-                        counts[c] = counts.get(c, 0) + 1
+                    if known and last:
+                        c = f"L{last} {w}"
+                        if c in counts:
+                            counts[c] += 1
+                        elif c not in other:
+                            if _holds(bits, c):
+                                counts[c] = 1
+                            elif len(c) < 200:
+                                other.add(c)
+                    last = w
                 if len(second) > held:
                     second.clear()
+                if len(other) > held:
+                    other.clear()
                 if len(counts) > held:
                     yield batch(counts)
                     counts = {}
