@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from .common import discard, skewed_lookup, stash
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """One star step over (a, b): each node's neighbours are tied to the least node about it.
 
     The least neighbour and the degree of each node are written first; the edges then meet them through
-    ``skewed_lookup``, so that a hub's rows are joined by broadcast and no task holds them all.
+    ``skewed_lookup``, so that a hub's rows are joined by broadcast and no task holds them all. ``rows`` is what there are
+    at most of edges, either way.
     """
     if large:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = stash(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select("a", F.least("a", "m").alias("m"), "degree"), "least")
-    total = least.agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
-    tied = skewed_lookup(both, least, "a", "degree", total)
+    tied = skewed_lookup(both, least, "a", "degree", rows)
     if large:
         out = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -45,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(edges)
     while True:
-        edges = _star(_star(edges, True), False)
+        rows = 2 * mark[0]  # the large step meets each edge from both its ends, and leaves no more than these
+        edges = _star(_star(edges, True, rows), False, rows)
         new = _mark(edges)
         if new == mark:
             break

@@ -223,9 +223,10 @@ def _classes(fps: DataFrame, levels: int | None) -> tuple[DataFrame, int]:
     total, n = points.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # expected points in a cell of two subspaces stay under 2,000 up to 2^28 points; beyond that a third is used
     roots = components(links(points.select("fp"), levels or (2 if n < 1 << 28 else 3))).select(F.col("node").alias("fp"), "root")
-    named = points.join(roots, "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return stash(named.join(least, "root").select("fp", "n", "root", "component_id"), "labels"), total
+    named = stash(points.join(roots, "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")), "named")
+    least = stash(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("points")), "least")
+    # a class may hold a third of all points
+    return stash(skewed_lookup(named, least, "root", "points", n).select("fp", "n", "root", "component_id"), "labels"), total
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int | None = None) -> DataFrame:
