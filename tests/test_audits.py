@@ -1,12 +1,13 @@
 import hashlib
 import json
+import random
 from itertools import combinations
 from pathlib import Path
 
 import pytest
 
 from sievework import cli
-from sievework.operators import gates
+from sievework.operators import gates, neardup
 from sievework.operators.duplicates import TREE_PREFIX, fingerprint, tree_fingerprint, with_digest
 from sievework.operators.neardup import NearDuplicateConfig
 from sievework.operators.overlap import match_rate, overlap_rate
@@ -185,3 +186,11 @@ def test_reports_are_checked_against_their_model(spark, five):
             model.check({**report, "input": report["input"] | change}, model.SCAN)
     with pytest.raises(ValueError, match="too few: notes"):
         model.check({k: v for k, v in report.items() if k != "notes"}, model.SCAN)
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_hot_buckets_are_split_without_loss(spark, block):
+    rng = random.Random(block)
+    keys = {f"t{i}": [7 if i < 40 else rng.randrange(4), rng.randrange(30), rng.randrange(30)] for i in range(70)}
+    pairs = [tuple(r) for r in neardup.candidates(spark.createDataFrame(list(keys.items()), "t string, keys array<long>"), block).collect()]
+    assert sorted(pairs) == sorted((x, y) for x in keys for y in keys if x < y and any(a == b for a, b in zip(keys[x], keys[y])))
