@@ -146,7 +146,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
         place, first = place + r["count"], first + blocks
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    listed = F.broadcast(spark.createDataFrame(dims, "dim int, from_place long, from_block long, blocks long, q_blocks long"))
+    listed = spark.createDataFrame(dims, "dim int, from_place long, from_block long, blocks long, q_blocks long")
     named = stash(placed.join(listed, "dim").select("uid", "vec_id", "norm", "vec", "dim", (F.col("from_block") + F.floor((F.col("place") - F.col("from_place")) / block)).alias("cb")), "blocked")
     queries = queries.join(listed, "dim").select("key", "norm", "vec", "dim", "asks", "q_blocks", "from_block", F.pmod(F.xxhash64("key"), F.col("q_blocks")).alias("q0"))
     # the longest block of each dimension first
