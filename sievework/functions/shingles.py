@@ -51,11 +51,82 @@ def signature(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if not len(ids):
         return np.zeros(len(a), dtype=np.uint32)
     least = np.full(len(a), 0xFFFFFFFF, dtype=np.uint32)
-    for s in range(0, len(ids), 4096):
-        least = np.minimum(least, (ids[s : s + 4096, None] * a + b).min(axis=0))
+    for s in range(0, len(ids), 512):
+        permuted = ids[s : s + 512, None] * a
+        permuted += b
+        np.minimum(least, permuted.min(axis=0), out=least)
     return least
 
 
+class Grams:
+    """Shingles of texts as numbers, exactly: each code point has a number of its own, and a shingle packs its numbers into 64 bits.
+
+    Shingles of over 8 code points, and texts once more code points are met than fit, have no such numbers.
+    """
+
+    def __init__(self, size: int) -> None:
+        if size < 1:
+            raise ValueError("shingle size must be at least 1")
+        self.size, self.bits, self.known = size, min(64 // size, 16), 0
+        self.numbers = np.zeros(0x110000 if size <= 8 else 0, dtype=np.uint16)
+
+    def places(self, near: str) -> np.ndarray | None:
+        """The number of the shingle at each place of a text, repeats included."""
+        if self.size > 8:
+            return None
+        points = np.frombuffer(near.encode("utf-32-le"), dtype=np.uint32)
+        numbers = self.numbers[points]
+        if not numbers.all():
+            new = np.unique(points[numbers == 0])
+            if self.known + len(new) >= 1 << self.bits:
+                return None
+            self.numbers[new] = np.arange(self.known + 1, self.known + 1 + len(new))
+            self.known += len(new)
+            numbers = self.numbers[points]
+        numbers = numbers.astype(np.uint64)
+        last = max(len(numbers) - self.size + 1, min(len(numbers), 1))
+        packed = numbers[:last].copy()
+        for i in range(1, min(self.size, len(numbers))):
+            packed |= numbers[i : i + last] << np.uint64(self.bits * i)
+        return packed
+
+
+class Ids:
+    """``u32`` of a text's distinct shingles. Those met of late are remembered, in a table of a fixed size."""
+
+    SLOTS = 21
+
+    def __init__(self, size: int) -> None:
+        self.grams = Grams(size)
+        self.codes, self.values = np.zeros(1 << self.SLOTS, dtype=np.uint64), np.zeros(1 << self.SLOTS, dtype=np.uint32)
+
+    def of(self, near: str) -> np.ndarray:
+        """An id for each distinct shingle, in no order."""
+        places = self.grams.places(near)
+        if places is None:
+            found = shingles(near, self.grams.size)
+            return np.fromiter((u32(g.encode()) for g in found), dtype=np.uint32, count=len(found))
+        codes = np.sort(places)
+        codes = codes[np.concatenate(([True], codes[1:] != codes[:-1]))] if len(codes) else codes
+        slots = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)
+        ids, missed = self.values[slots], self.codes[slots] != codes
+        if missed.any():
+            new = codes[missed]
+            # the last place of each is as good as any
+            at = np.zeros(len(new), dtype=np.int64)
+            where = np.searchsorted(new, places)
+            where[where == len(new)] = 0
+            held = new[where] == places
+            at[where[held]] = np.flatnonzero(held)
+            size = self.grams.size
+            hashed = np.fromiter((u32(near[i : i + size].encode()) for i in at.tolist()), dtype=np.uint32, count=len(at))
+            ids[missed] = hashed
+            # of two that share a slot, one is remembered with its own id
+            kept, first = np.unique(slots[missed], return_index=True)
+            self.codes[kept], self.values[kept] = new[first], hashed[first]
+        return ids
+
+
 def rows_per_band(count: int) -> int:
     rows = 4 if count >= 4 else 1
     while count % rows:
