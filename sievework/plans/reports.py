@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
-from ..functions.canonical import record_digest
+from ..functions.canonical import column, python_str, record_digest, text_digest
 from ..functions.text import display
 from ..operators.duplicates import PREFIX, TREE, TREE_PREFIX, exact_duplicates, fingerprint, tree_fingerprint
 from ..operators.extraction import field_text, first_text
@@ -94,18 +94,29 @@ def _stats(a: DataFrame, b: DataFrame) -> dict:
     return {**r, "rate": overlap_rate(r["shared_records"], r["only_in_a"], r["only_in_b"])}
 
 
+def _shown(data: Dataset, text_field: str, rows: set[int]) -> dict[int, str]:
+    """The texts of a few rows as a report shows them."""
+    if not rows:
+        return {}
+    few = F.broadcast(data.frame.sparkSession.createDataFrame([(r,) for r in rows], "row long"))
+    return {r["row"]: r["shown"] for r in field_text(data.frame, text_field, ROW).join(few, "row").select("row", display(F.col("text")).alias("shown")).collect()}
+
+
 def compare(a: Dataset, b: Dataset, max_evidence: int = MAX_EVIDENCE, text_field: str | None = None, prefix: str = PREFIX) -> dict:
     """Exact and normalised overlap of two datasets, over whole records or the texts of one field."""
+    # each side is read once, for all of its digests; texts are read again for the pairs shown only
     sides = []
     for data in (a, b):
+        record = record_digest(data.frame, True, data.columns)
         if text_field is None:
-            d = data.frame.select(F.col(ROW).alias("row"), record_digest(data.frame, False, data.columns).alias("exact"), record_digest(data.frame, True, data.columns).alias("normalized"))
+            d = data.frame.select(F.col(ROW).alias("row"), record_digest(data.frame, False, data.columns).alias("exact"), record.alias("normalized"))
         else:
             if text_field not in data.columns:
                 raise ValueError(f"Column '{text_field}' not found in {data.path} (available: {', '.join(data.columns)})")
-            d = field_text(data.frame, text_field, ROW)
+            text = python_str(column(text_field), data.frame.schema[text_field].dataType)
+            d = data.frame.select(F.col(ROW).alias("row"), text_digest(text, False).alias("exact"), text_digest(text, True).alias("normalized"), record.alias("record"))
         sides.append(d.persist())
-    left, right = sides
+    left, right = (d.where(F.col("exact").isNotNull()) for d in sides)  # rows without a text have no digest of it
 
     def pick(side: DataFrame, kind: str, *more: str) -> DataFrame:
         return side.select("row", F.col(kind).alias("digest"), *more)
@@ -115,27 +126,28 @@ def compare(a: Dataset, b: Dataset, max_evidence: int = MAX_EVIDENCE, text_field
     found = evidence(pick(left, "exact"), pick(right, "exact"), max_evidence).collect()
     exact_truncated = len(found) > max_evidence
     exact_items = [{"dataset_a_record": r["a_row"], "dataset_b_record": r["b_row"], **field} for r in found[:max_evidence]]
-    normalized = evidence(pick(left, "normalized", F.col("exact").alias("a_exact"), *(["text"] if text_field else [])), pick(right, "normalized"), max_evidence)
+    normalized = evidence(pick(left, "normalized", F.col("exact").alias("a_exact")), pick(right, "normalized"), max_evidence)
     few = left.sparkSession.createDataFrame(normalized.collect(), normalized.schema)  # at most max_evidence + 1 rows
-    shown = few.join(F.broadcast(few.select("b_row").distinct()).join(right, F.col("row") == F.col("b_row")).select("b_row", F.col("exact").alias("b_exact"), *([F.col("text").alias("b_text")] if text_field else [])), "b_row")
-    pairs = {(r["a_row"], r["b_row"]): r for r in shown.select("a_row", "b_row", (F.col("a_exact") == F.col("b_exact")).alias("also_exact"), *([display(F.col("text")).alias("a"), display(F.col("b_text")).alias("b")] if text_field else [])).collect()}
+    shown = few.join(F.broadcast(few.select("b_row").distinct()).join(right, F.col("row") == F.col("b_row")).select("b_row", F.col("exact").alias("b_exact")), "b_row")
+    pairs = {(r["a_row"], r["b_row"]): r for r in shown.select("a_row", "b_row", (F.col("a_exact") == F.col("b_exact")).alias("also_exact")).collect()}
     truncated = len(pairs) > max_evidence
     keys = sorted(pairs)[:max_evidence]
     differing = {}
-    if text_field is None and any(not pairs[k]["also_exact"] for k in keys):
-        only = left.sparkSession.createDataFrame([k for k in keys if not pairs[k]["also_exact"]], "a_row long, b_row long")
+    unlike = [k for k in keys if not pairs[k]["also_exact"]]
+    texts = [_shown(data, text_field, {k[i] for k in unlike}) if text_field else {} for i, data in enumerate((a, b))]
+    if text_field is None and unlike:
+        only = left.sparkSession.createDataFrame(unlike, "a_row long, b_row long")
         differing = {(r["a_row"], r["b_row"]): [d.asDict() for d in r["differing"]] for r in field_differences(a.frame, b.frame, ROW, ROW, only).collect()}
     items = []
     for k in keys:
         item = {"dataset_a_record": k[0], "dataset_b_record": k[1], **field, "also_exact": pairs[k]["also_exact"]}
         if not item["also_exact"]:
-            item |= {"differing_fields": differing[k]} if text_field is None else {"difference": {"a": pairs[k]["a"], "b": pairs[k]["b"]}}
+            item |= {"differing_fields": differing[k]} if text_field is None else {"difference": {"a": texts[0][k[0]], "b": texts[1][k[1]]}}
         items.append(item)
     refs = []
-    for data in (a, b):
-        digests = _digests(data, True).persist()
+    for data, side in zip((a, b), sides):
+        digests = side.select("row", F.col("normalized" if text_field is None else "record").alias("digest"))
         refs.append(_reference(data, digests, digests.count(), prefix))
-        digests.unpersist()
     for s in sides:
         s.unpersist()
     whole = text_field is None
