@@ -42,10 +42,10 @@ def _clean(spark: SparkSession) -> None:
             _delete(spark, path)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, **options: int | str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and an executor's loss costs nothing.
 
-    The table stays until ``discard`` or the end of the process.
+    The table stays until ``discard`` or the end of the process. ``options`` are the writer's.
     """
     spark = df.sparkSession
     bound_batches(spark)
@@ -55,7 +55,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
         _WRITTEN[app] = set()
         atexit.register(_clean, spark)
     _WRITTEN[app].add(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stashed = path
     return back
