@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+from typing import TypeVar
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bound_batches, discard, shared_dir, stash
 
-__all__ = ["bounded_rank", "buckets_for", "discard", "id_text", "plain", "shared_dir", "skewed_lookup", "stash"]
+__all__ = ["bounded_rank", "buckets_for", "discard", "forget", "id_text", "plain", "remembered", "shared_dir", "skewed_lookup", "stash"]
 
 #: Keys holding more than 1/HOT_SHARE of all rows are joined by broadcast; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 512
+T = TypeVar("T")
+_REMEMBERED: dict[Hashable, object] = {}
+
+
+def remembered(key: Hashable, make: Callable[[], T]) -> T:
+    """What ``make`` gives, once for the tasks that follow one another in a worker process; a worker remembers one thing at a time.
+
+    Workers outlive an operator, so without this each stage of a pipeline would hold what those before it remembered.
+    """
+    if key not in _REMEMBERED:
+        forget()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
+def forget() -> None:
+    """Let go of what an operator before this one remembered; for operators that remember nothing from task to task."""
+    if _REMEMBERED:
+        _REMEMBERED.clear()
+        pa.default_memory_pool().release_unused()
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

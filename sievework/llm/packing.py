@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rank, buckets_for, id_text, stash
+from .common import bounded_rank, buckets_for, id_text, remembered, stash
 
 SIZE = 1024
 END = 2
@@ -27,7 +26,6 @@ Place = tuple[int, int]
 SLACKS = (0, 2, 5, 8, 12, 16, 24, 32, 48, 64)
 
 
-@lru_cache(maxsize=2)
 def _tokenizers(json_path: str, ranks_path: str):
     import base64
 
@@ -44,7 +42,7 @@ def _tokenizers(json_path: str, ranks_path: str):
 
 def token_ids(text: str, json_path: str, ranks_path: str) -> np.ndarray:
     """Ids as ``tokenizers`` gives them, from the faster reader of the same vocabulary unless an added token occurs."""
-    slow, fast, added = _tokenizers(json_path, ranks_path)
+    slow, fast, added = remembered(("packing", json_path, ranks_path), lambda: _tokenizers(json_path, ranks_path))
     if not any(a in text for a in added):
         try:
             return fast.encode_to_numpy(text, disallowed_special=())
@@ -61,13 +59,33 @@ def cut(n: int, size: int) -> list[Place]:
     return [(0, first), *((s, size) for s in range(first, n, size))]
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, keep_ids: bool = True, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) for the pieces of all texts; a null text counts as empty."""
+def compact(ids: np.ndarray) -> bytes:
+    """A piece's ids (at least one) in two bytes each, or in four if one of them is greater."""
+    return (ids.astype("<u2") if ids.max() < 1 << 16 else ids.astype("<u4")).tobytes()
+
+
+def unfolded(column: pa.Array, length: np.ndarray) -> pa.Array:
+    """Lists of ids from a column of ``compact`` ones, of which ``length`` has the numbers."""
+    column = column.cast(pa.binary())
+    ends = np.concatenate(([0], np.cumsum(length)))
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0, 0]
+    if at[-1] - at[0] == 2 * ends[-1]:
+        ids = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view("<u2")
+    else:
+        ids = np.concatenate([np.frombuffer(x.as_buffer(), f"<u{x.as_buffer().size // n}") for x, n in zip(column, length.tolist())])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
+
+
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, keep_ids: bool = True, json_path: str | None = None, ranks_path: str | None = None, folded: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]) for the pieces of all texts; a null text counts as empty.
+
+    ``folded`` ids are a binary column, see ``compact``.
+    """
     import public_tokenizers
 
     json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary() if folded else pa.list_(pa.int32()))] * keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,7 +96,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
                 for k, (s, n) in enumerate(cut(len(ids), size)):
                     part = ids[s : s + n]
                     row = (doc, k, s, n, zlib.crc32(part.tobytes()))
-                    out.append((*row, part.astype(np.int32)) if keep_ids else row)
+                    out.append((*row, compact(part) if folded else part.astype(np.int32)) if keep_ids else row)
                     weight += n if keep_ids else 1
                 if weight > 1_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
@@ -86,7 +104,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if folded else ", ids array<int>") * keep_ids
     return id_text(docs, id_col, text_col).mapInArrow(run, kinds)
 
 
@@ -147,11 +165,12 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, lis
     return best or []
 
 
-def pack(parts: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id", "piece", "start", "ids_crc32")) -> DataFrame:
+def pack(parts: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id", "piece", "start", "ids_crc32"), folded: str | None = None) -> DataFrame:
     """Add sequence_id (from 0, gapless) and offset to ``parts``, which has a column length of 1 to ``size``.
 
     ``parts`` is read three times, so it should be a written table. Ranks among pieces of one length are made in
-    buckets, so a length that a third of all pieces have is no single task's work.
+    buckets, so a length that a third of all pieces have is no single task's work. A column of ``folded`` ids goes
+    through the exchange as it is, and lists are made of it where pieces are placed.
     """
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     table, base, used = [], 0, dict.fromkeys(histogram, 0)
@@ -173,11 +192,11 @@ def pack(parts: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id",
             nth = rank - at[:, 1]
             sequence, offset = at[:, 2] + nth // at[:, 3], at[:, 4] + nth % at[:, 3] * length
             names = [x for x in b.schema.names if x != "rank"]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(unfolded(b.column(x), length) if x == folded else b.column(x) for x in names), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"])
 
     n = sum(histogram.values())
-    ranked = bounded_rank(parts, ["length"], [F.col(c) for c in order], F.xxhash64("doc_id", "piece"), buckets_for(n, 20_000), "rank").select(*parts.columns, "rank")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id long, offset long"
+    ranked = bounded_rank(parts, ["length"], [F.col(c) for c in order], F.xxhash64("doc_id", "piece"), buckets_for(n, 10_000 if folded else 20_000), "rank").select(*parts.columns, "rank")
+    kinds = ", ".join(f"`{f.name}` {'array<int>' if f.name == folded else f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id long, offset long"
     return ranked.mapInArrow(place, kinds)
 
 
@@ -187,7 +206,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts are the one end token. Texts of over ``size`` tokens are cut. Repeated rows are packed as often
     as they occur; rows without an id too. No rows give no rows. Other columns are ignored.
     """
-    return pack(stash(pieces(docs, id_col, text_col, size, keep_ids=keep_ids), "pieces"), size)
+    return pack(stash(pieces(docs, id_col, text_col, size, keep_ids=keep_ids, folded=keep_ids), "pieces"), size, folded="ids" if keep_ids else None)
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from .common import plain, skewed_lookup, stash
+from .common import forget, plain, skewed_lookup, stash
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ID = KINDS.index("id")
@@ -224,6 +224,7 @@ def instances(text: str) -> list[Instance]:
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(pattern, value, seed, n): edges of the graph. A value is named by a hash; assignments of anything else count against their name, under no value."""
+    forget()
     for b in batches:
         counts: dict[tuple[str, str, int], int] = {}
         for t in b.column(0):
@@ -279,6 +280,7 @@ def _occurrences(docs: DataFrame, bits: bytes, held: int = 100_000) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         second: dict[str, int] = {}
         counts: dict[str, int] = {}
         other: set[str] = set()
@@ -393,6 +395,7 @@ def find(docs: DataFrame, text_col: str = "text", trusted: DataFrame | None = No
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             columns, base, spans, texts = list(b.columns)[:width], [], [], []
             marked = [None] * len(b) if few else b.column(width).to_pylist()

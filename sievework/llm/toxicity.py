@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, plain, stash
+from .common import forget, id_text, plain, remembered, stash
 
 #: Labelled documents that the lexicon and the logistic model are fitted on, at most, chosen by a hash of their id.
 SAMPLE = 20_000
@@ -194,15 +194,9 @@ class Reader:
         return found
 
 
-_READERS: dict[str, Reader] = {}
-
-
 def _reader(key: str, model: np.ndarray, lexicon: dict[str, float]) -> Reader:
     """This process's reader: tasks that follow one another in a worker go on with what it remembers."""
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = Reader(model, lexicon)
-    return _READERS[key]
+    return remembered(("toxicity", key), lambda: Reader(model, lexicon))
 
 
 @dataclass
@@ -265,6 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         reader = Reader(model)
         for b in batches:
             texts_ = b.column(1).to_pylist()

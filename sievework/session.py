@@ -83,8 +83,12 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def bound_batches(spark: SparkSession, limit: int = 32 << 20) -> None:
-    """Bound the bytes, not only the rows, of batches sent to Python, unless the session does so more strictly itself."""
+def bound_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Bound the bytes, not only the rows, of batches sent to Python, unless the session does so more strictly itself.
+
+    A batch is held several times over: in buffers that double as they grow and lie outside of the executor's heap, and in
+    the worker with what is made of it, for each task that runs at once.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, None)
     if now is None or not now.isdigit() or int(now) > limit:

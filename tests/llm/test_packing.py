@@ -2,13 +2,15 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from helpers import corpus, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sievework.llm import packing
+from sievework.llm import common, packing
+from sievework.session import bound_batches
 
 
 def check_places(rows, size):
@@ -62,3 +64,33 @@ def test_patterns_use_every_piece_once(histogram):
         for x, k in items:
             used[x] = used.get(x, 0) + times * k
     assert used == histogram
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 70_000), min_size=1, max_size=9), max_size=6), st.integers(0, 2))
+def test_folded_ids_come_back(lists, skip):
+    column = pa.array([packing.compact(np.array(x, dtype="<u4")) for x in lists], pa.binary()).slice(skip)
+    assert packing.unfolded(column, np.array([len(x) for x in lists[skip:]], dtype=np.int64)).to_pylist() == lists[skip:]
+
+
+def test_ids_are_exchanged_in_two_bytes(spark):
+    got = packing.pack_documents(documents(spark, corpus()), size=64)
+    assert dict(got.dtypes)["ids"] == "array<int>" and got.columns[-2:] == ["sequence_id", "offset"]
+    plan = got._jdf.queryExecution().optimizedPlan()
+    below = plan.children().apply(0)  # what the placing of pieces reads
+    kinds = {a.name(): a.dataType().simpleString() for i in range(below.output().size()) for a in [below.output().apply(i)]}
+    assert kinds["ids"] == "binary"
+
+
+def test_a_worker_remembers_one_thing_at_a_time():
+    first = common.remembered("a", lambda: [1])
+    assert common.remembered("a", lambda: [2]) is first
+    assert common.remembered("b", lambda: [3]) == [3] and list(common._REMEMBERED) == ["b"]
+    common.forget()
+    assert not common._REMEMBERED
+
+
+def test_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound_batches(spark)
+    assert int(spark.conf.get(name)) <= 8 << 20
