@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import bound_batches, discard, shared_dir, stash
 
-__all__ = ["bounded_rank", "buckets_for", "discard", "forget", "id_text", "plain", "remembered", "shared_dir", "skewed_lookup", "stash"]
+__all__ = ["bounded_rank", "buckets_for", "discard", "forget", "id_text", "lean", "plain", "remembered", "shared_dir", "skewed_lookup", "stash"]
 
 #: Keys holding more than 1/HOT_SHARE of all rows are joined by broadcast; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 512
@@ -32,9 +32,15 @@ def remembered(key: Hashable, make: Callable[[], T]) -> T:
 
 def forget() -> None:
     """Let go of what an operator before this one remembered; for operators that remember nothing from task to task."""
-    if _REMEMBERED:
-        _REMEMBERED.clear()
+    _REMEMBERED.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow keeps of those before for further use is given back at each."""
+    for b in batches:
         pa.default_memory_pool().release_unused()
+        yield b
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

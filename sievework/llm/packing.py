@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rank, buckets_for, id_text, remembered, stash
+from .common import bounded_rank, buckets_for, id_text, lean, remembered, stash
 
 SIZE = 1024
 END = 2
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary() if folded else pa.list_(pa.int32()))] * keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             out: list[tuple] = []
             weight = 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -170,7 +170,8 @@ def pack(parts: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id",
 
     ``parts`` is read three times, so it should be a written table. Ranks among pieces of one length are made in
     buckets, so a length that a third of all pieces have is no single task's work. A column of ``folded`` ids goes
-    through the exchange as it is, and lists are made of it where pieces are placed.
+    through the exchange as it is, and lists are made of it where pieces are placed; buckets of such wide rows are
+    smaller, as several may fall to one task.
     """
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     table, base, used = [], 0, dict.fromkeys(histogram, 0)
@@ -186,7 +187,7 @@ def pack(parts: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id",
     starts = (cols[:, 0] << 44) + cols[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
             at = cols[np.searchsorted(starts, (length << 44) + rank, "right") - 1]
             nth = rank - at[:, 1]
@@ -195,7 +196,7 @@ def pack(parts: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id",
             yield pa.RecordBatch.from_arrays([*(unfolded(b.column(x), length) if x == folded else b.column(x) for x in names), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"])
 
     n = sum(histogram.values())
-    ranked = bounded_rank(parts, ["length"], [F.col(c) for c in order], F.xxhash64("doc_id", "piece"), buckets_for(n, 10_000 if folded else 20_000), "rank").select(*parts.columns, "rank")
+    ranked = bounded_rank(parts, ["length"], [F.col(c) for c in order], F.xxhash64("doc_id", "piece"), buckets_for(n, 1_000 if folded else 20_000), "rank").select(*parts.columns, "rank")
     kinds = ", ".join(f"`{f.name}` {'array<int>' if f.name == folded else f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id long, offset long"
     return ranked.mapInArrow(place, kinds)
 

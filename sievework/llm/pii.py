@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from .common import forget, plain, skewed_lookup, stash
+from .common import forget, lean, plain, skewed_lookup, stash
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ID = KINDS.index("id")
@@ -225,7 +225,7 @@ def instances(text: str) -> list[Instance]:
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(pattern, value, seed, n): edges of the graph. A value is named by a hash; assignments of anything else count against their name, under no value."""
     forget()
-    for b in batches:
+    for b in lean(batches):
         counts: dict[tuple[str, str, int], int] = {}
         for t in b.column(0):
             text = t.as_py()
@@ -396,7 +396,7 @@ def find(docs: DataFrame, text_col: str = "text", trusted: DataFrame | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for b in batches:
+        for b in lean(batches):
             columns, base, spans, texts = list(b.columns)[:width], [], [], []
             marked = [None] * len(b) if few else b.column(width).to_pylist()
             for t, m in zip(b.column(at), marked):

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, id_text, skewed_lookup, stash
+from .common import forget, id_text, lean, skewed_lookup, stash
 from .components import components
 
 RADIUS = 4
@@ -86,7 +86,7 @@ def fingerprints_of(texts: list[bytes]) -> list[int]:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forget()
-    for b in batches:
+    for b in lean(batches):
         texts = b.column(1).cast(pa.binary()).to_pylist()
         fps = np.array(fingerprints_of(texts), dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, id_text, plain, remembered, stash
+from .common import forget, id_text, lean, plain, remembered, stash
 
 #: Labelled documents that the lexicon and the logistic model are fitted on, at most, chosen by a hash of their id.
 SAMPLE = 20_000
@@ -261,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         reader = Reader(model)
-        for b in batches:
+        for b in lean(batches):
             texts_ = b.column(1).to_pylist()
             for s in range(0, len(texts_), 500):
                 some = texts_[s : s + 500]
@@ -300,7 +300,7 @@ def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(key, classifier.model, classifier.lexicon)
-        for b in batches:
+        for b in lean(batches):
             scores = [classifier.score(reader.features(t)) if (t := x.as_py()) else classifier.score(set()) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name])
 

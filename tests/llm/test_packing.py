@@ -94,3 +94,10 @@ def test_batches_are_bounded(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     bound_batches(spark)
     assert int(spark.conf.get(name)) <= 8 << 20
+
+
+def test_exchange_is_even(spark):
+    """Half of all pieces are of one length; no bucket of wide rows has many of them."""
+    parts = packing.stash(packing.pieces(documents(spark, [(i, "a b c d e f") for i in range(3000)]), size=8, folded=True), "even")
+    plan = packing.pack(parts, 8, folded="ids")._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(xxhash64(doc_id" in plan and ", 3)" in plan
